@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, mixing
+from lexmesh.llm import fingerprints, host_reputation, mixing, quality_classifier, quality_rules
 from lexmesh.llm.shared import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_reputation.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return host_reputation.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels(spark, sf_dir))
 
 
 def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +35,7 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_systematic_mix, op8_host_reputation, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op5_decision_list, op6_systematic_mix, op8_host_reputation, op10_canonical_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
