@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, mixing, quality_classifier, quality_rules
+from lexmesh.llm import fingerprints, host_reputation, mixing, packing, quality_classifier, quality_rules, toxicity
 from lexmesh.llm.shared import documents
 
 
@@ -18,6 +18,10 @@ def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -30,12 +34,18 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels(spark, sf_dir))
 
 
+def op9_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op5_decision_list, op6_systematic_mix, op8_host_reputation, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op5_decision_list, op6_systematic_mix, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
