@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, mixing, packing, quality_classifier, quality_rules, toxicity
+from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, packing, quality_classifier, quality_rules, toxicity
 from lexmesh.llm.shared import documents
 
 
@@ -22,6 +22,10 @@ def op3_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_texts(documents(spark, sf_dir))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op5_decision_list, op6_systematic_mix, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

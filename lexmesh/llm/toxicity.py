@@ -58,15 +58,17 @@ class Automaton:
 class Trie:
     """The lexicon as nested dicts; ``""`` marks the end of a term."""
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], exact_only: Iterable[str] = ()):
         self.root: dict = {}
         self.terms = sorted(terms)
+        exact_only = frozenset(exact_only)
+        self.allowed = {t: 0 if t in exact_only else allowed(t) for t in self.terms}
         for term in self.terms:
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-        self.k = max(map(allowed, self.terms), default=0)
+        self.k = max(self.allowed.values(), default=0)
 
     def nearest(self, word: str) -> tuple[str, int] | None:
         """The nearest term (then the first) within its allowed distance, and the distance."""
@@ -75,7 +77,7 @@ class Trie:
         while stack:
             node, row = stack.pop()
             term = node.get("")
-            if term is not None and row[-1] <= allowed(term) and (best is None or (row[-1], term) < best[::-1]):
+            if term is not None and row[-1] <= self.allowed[term] and (best is None or (row[-1], term) < best[::-1]):
                 best = (term, row[-1])
             for char, child in node.items():
                 if char and automaton.alive(after := automaton.step(row, char)):
@@ -86,12 +88,12 @@ class Trie:
 class Matcher:
     """Finds the words of texts that match a lexicon; remembers the words it has seen."""
 
-    def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = ()):
-        self.trie, self.clean_forms, self.seen = Trie(terms), frozenset(clean_forms), {}
+    def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = (), exact_only: Iterable[str] = ()):
+        self.trie, self.clean_forms, self.seen = Trie(terms, exact_only), frozenset(clean_forms), {}
         # By pigeonhole a match keeps one of k + 1 pieces of its term, shifted by k characters at most.
         self.pieces: dict[tuple[int, int, bool], set[bytes]] = {}
         for term in self.trie.terms:
-            k, n = allowed(term), len(term)
+            k, n = self.trie.allowed[term], len(term)
             cuts = [n * i // (k + 1) for i in range(k + 2)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 piece = term[a:b].encode()
@@ -164,10 +166,11 @@ def context_weight(before: list[str], own: str, after: list[str]) -> float:
 
 @dataclass
 class Model:
-    """Lexicon, forms that are not misspellings, and the curve from hits to a score."""
+    """Lexicon, forms that are not misspellings, terms amid ordinary words, and the curve from hits to a score."""
 
     terms: list[str] = field(default_factory=list)
     clean_forms: list[str] = field(default_factory=list)
+    exact_only: list[str] = field(default_factory=list)
     slope: float = 6.0
     bias: float = -2.5
     window: int = 6
@@ -188,11 +191,12 @@ def weighed_hits(texts: Texts, matcher: Matcher, window: int) -> list[tuple[int,
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, min_contexts: int = 5, share: float = 0.95) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95, crowd: int = 3) -> Model:
     """Fit on at most ``max_rows`` labelled rows of ``docs`` (the first by a hash of the id).
 
     A term is a word of two letters or more with ``min_contexts`` different neighbours in toxic
-    texts, whose document rate in toxic texts is ``share`` of both rates together at least.
+    texts, and in as many toxic texts, whose document rate in toxic texts is ``share`` of both rates
+    together at least. A term near which clean texts have ``crowd`` forms matches exactly or not at all.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows).select("labelled_id", "toxic")
@@ -210,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, min_context
             words = [texts.slice(a[i], b[i]).lower() for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pair[full].view(np.int64)), batch.column(0).take(pa.array(text[full]))], ["word", "pair", "doc_id"])
 
-    toxic_words = rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, doc_id long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("doc_id").alias("toxic_docs")).where(F.col("contexts") >= min_contexts).toPandas()
+    toxic_words = rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, doc_id long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("doc_id").alias("toxic_docs")).where((F.col("contexts") >= min_contexts) & (F.col("toxic_docs") >= min_contexts)).toPandas()
     size = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("toxic")["n"]
     n_toxic, n_clean = int(size.get(1, 0)), int(size.get(0, 0))
     if not n_toxic or not n_clean:
@@ -240,13 +244,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, min_context
         for batch, texts in sliced(batches, "text"):
             hits = weighed_hits(texts, matcher, model.window)
             at = pa.array([h[0] for h in hits], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h[1] for h in hits], pa.string()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.float64())], ["doc_id", "toxic", "form", "distance", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.string()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.float64())], ["doc_id", "toxic", "form", "term", "distance", "weight"])
 
-    found = rows.mapInArrow(hit_rows, "doc_id long, toxic int, form string, distance int, weight double").groupBy("doc_id", "toxic", "form", "distance").agg(F.sum("weight").alias("weight")).toPandas()
-    per_form = found[found["distance"] > 0].groupby(["form", "toxic"]).size().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
+    found = rows.mapInArrow(hit_rows, "doc_id long, toxic int, form string, term string, distance int, weight double").groupBy("doc_id", "toxic", "form", "term", "distance").agg(F.sum("weight").alias("weight")).toPandas()
+    near = found[found["distance"] > 0]
+    per_form = near.groupby(["form", "toxic"]).size().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
     clean_rate, toxic_rate = (per_form[0] + 0.0) / n_clean, per_form[1] / n_toxic
     model.clean_forms = sorted(per_form.index[(clean_rate > 0) & (toxic_rate < share * (toxic_rate + clean_rate))])
-    totals = found[~found["form"].isin(model.clean_forms) | (found["distance"] == 0)].groupby(["doc_id", "toxic"])["weight"].sum().reset_index()
+    crowds = near[near["form"].isin(model.clean_forms)].groupby("term")["form"].nunique()
+    model.exact_only = sorted(crowds.index[crowds >= crowd])
+    totals = found[~(found["form"].isin(model.clean_forms) | found["term"].isin(model.exact_only)) | (found["distance"] == 0)].groupby(["doc_id", "toxic"])["weight"].sum().reset_index()
     # Rows without a hit count with a total of zero.
     x = np.concatenate([totals["weight"].to_numpy(), [0.0, 0.0]])
     y = np.concatenate([totals["toxic"].to_numpy(float), [0.0, 1.0]])
@@ -259,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, min_context
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.clean_forms)
+        matcher = Matcher(model.terms, model.clean_forms, model.exact_only)
         for batch, texts in sliced(batches, "text"):
             total, exact, near = np.zeros(texts.n), np.zeros(texts.n, np.int64), np.zeros(texts.n, np.int64)
             for t, _, _, d, weight in weighed_hits(texts, matcher, model.window):
@@ -270,7 +277,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, n_exact long, n_misspelled long")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 12000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 30000) -> DataFrame:
     """Toxicity of every row of ``docs`` (``doc_id``, ``text``).
 
     Learns from labelled rows whose crc32 of the id modulo 3 is not 1; ids, sources and languages
