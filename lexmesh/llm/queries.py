@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, packing, quality_classifier, quality_rules, toxicity
+from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from lexmesh.llm.shared import documents
 
 
@@ -34,6 +34,10 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels(spark, sf_dir))
 
@@ -49,8 +53,8 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_systematic_mix": mixing.ORACLE, "op8_host_reputation": host_reputation.ORACLE}
+    return {"op6_systematic_mix": mixing.ORACLE, "op7_shingle_join": ngram_join.ORACLE, "op8_host_reputation": host_reputation.ORACLE}
