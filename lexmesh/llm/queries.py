@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
 from lexmesh.llm.shared import documents
 
 
@@ -18,6 +18,12 @@ def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -53,7 +59,7 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_section_tokens, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
