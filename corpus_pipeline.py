@@ -1,12 +1,59 @@
-"""The corpus pipeline."""
+"""Corpus pipeline: quality rules, quality classifier, near-duplicates, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All
+but the last return the columns of ``documents``; the last returns the pieces of packed
+sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lexmesh.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
+from lexmesh.llm.shared import documents, materialise
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned decision list rejects go."""
+    return quality_rules.keep(docs, labels(spark, sf_dir))
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality_classifier.keep(docs, labels(spark, sf_dir))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays."""
+    return ngram_join.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target says."""
+    return mixing.repeat(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near-duplicates", near_duplicates), ("source mix", mix), ("packing", pack)]
+#: Learned rules and models have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; between stages the rows are a written table."""
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, f"stage{i}")
+    return docs

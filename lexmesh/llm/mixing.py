@@ -90,6 +90,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.5
     )
 
 
+def repeat(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns.
+
+    Rows that are equal in id, source and size each get the most copies that one of them got.
+    """
+    taken = mix(docs, weights, factor, cap, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = taken.select(*(F.col(c).alias("__mix_" + c) for c in ("doc_id", "source", "size", "copies")))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (words == F.col("__mix_size"))
+    return docs.join(taken, same).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int")))).select(docs.columns)
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS place

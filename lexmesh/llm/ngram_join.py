@@ -313,3 +313,19 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = w.doc_id)::BIGINT AS component_id
 FROM w LEFT JOIN n USING (doc_id)
 """
+
+
+def deduplicate(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for those whose class (see :func:`classes`) has a smaller id; all columns.
+
+    Rows without shingles stay, as do null ids. An id that is repeated stays if any of its rows does,
+    and of its rows those that are equal in all columns stay once.
+    """
+    found = materialise(classes(docs, k).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")), "classes")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("gone_id"))
+    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    repeated = found.where("stays AND rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("repeated_id"))
+    if repeated.isEmpty():
+        return left
+    again = F.col("doc_id") == F.col("repeated_id")
+    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates())
