@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmesh.llm.shared import WORD, materialise
+from lexmesh.llm.shared import WORD, free_prefix, materialise
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], factor: float, cap: int) -> DataFrame:
@@ -96,10 +96,11 @@ def repeat(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float =
     Rows that are equal in id, source and size each get the most copies that one of them got.
     """
     taken = mix(docs, weights, factor, cap, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(*(F.col(c).alias("__mix_" + c) for c in ("doc_id", "source", "size", "copies")))
+    own = free_prefix(docs, "__mix_")
+    taken = taken.select(*(F.col(c).alias(own + c) for c in ("doc_id", "source", "size", "copies")))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (words == F.col("__mix_size"))
-    return docs.join(taken, same).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int")))).select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(own + "doc_id")) & F.col("source").eqNullSafe(F.col(own + "source")) & (words == F.col(own + "size"))
+    return docs.join(taken, same).withColumn(own + "copy", F.explode(F.array_repeat(F.lit(1), F.col(own + "copies").cast("int")))).select(docs.columns)
 
 
 ORACLE = """

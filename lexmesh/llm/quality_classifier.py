@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.quality_rules import counts
+from lexmesh.llm.shared import free_prefix
 from lexmesh.llm.textbytes import Texts, sliced
 
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 64, 16
@@ -202,4 +203,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_lab
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int = 6000) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with all their columns."""
     model = fit(docs, labels, max_labelled, max_pool)
-    return scored(docs, model, docs.columns, "__q_").where(F.col("__q_score") >= threshold).select(docs.columns)
+    own = free_prefix(docs, "__q_")
+    return scored(docs, model, docs.columns, own).where(F.col(own + "score") >= threshold).select(docs.columns)

@@ -41,6 +41,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (doc_id, distinct, written); nulls stay.
+
+    Up to ``most`` ids (16 bytes each) are counted and then broadcast, which spares the texts a shuffle;
+    more are joined by a shuffle of both sides.
+    """
+    own = free_prefix(docs, "__gone_") + "id"
+    gone = ids.select(F.col("doc_id").alias(own))
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, F.col("doc_id") == F.col(own), "left_anti")
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, lengthened until no column of ``df`` starts with it."""
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
