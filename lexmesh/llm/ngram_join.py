@@ -7,11 +7,11 @@
    shingle in the first n - ceil(0.75 n) + 1; sets without one are done.
 3. In the index each list is cut into blocks by set size and by position in the set. A probe
    reads only the blocks that sizes and positions allow, and skips the others whole.
-4. Set relations: first every set is compared with one leader of each of its lists, and sets
-   that link become classes. Later candidates within a class need no comparison. Between
-   classes, leaders are compared first, and a member's answer is derived from its leader's:
-   Jaccard distance is a metric, so where leaders are far apart their near members cannot link.
-   Only what is left is compared, so no link between classes is lost.
+4. Set relations: in a few rounds every set is compared with one leader of its lists, and sets
+   that link become classes. Candidates within a class need no comparison. Between classes,
+   leaders are compared first, and a member's answer is derived from its leader's: Jaccard
+   distance is a metric, so where leaders are far apart their near members cannot link. Only
+   what is left is compared, so no link between classes is lost.
 
 Sets that are equal are one node throughout. Hashes have 64 bits (shingles) and 128 bits (sets).
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.chunks import from_planes, planes
-from lexmesh.llm.shared import materialise, partitions
+from lexmesh.llm.shared import free_prefix, materialise, partitions, without
 from lexmesh.llm.textbytes import mixed, shingles, sliced
 
 #: A shingle that so many sets of a chunk have is asked for once, beside a list of the sets.
@@ -232,44 +232,93 @@ def blocks(entries: DataFrame, probe: bool) -> DataFrame:
         entries = entries.withColumn("size_class", F.explode(F.array(size - 1, size, size + 1)))
     else:
         entries = entries.withColumn("size_class", size)
-    width = F.ceil(F.pow(F.lit(4 / 3), F.col("size_class") + 1) / 4) + 1
+    width = F.ceil(F.pow(F.lit(4 / 3), F.col("size_class") + 2) / 4) + 1
     block = F.floor(F.col("pos") / width)
     if probe:
         return entries.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).where("block >= 0")
     return entries.withColumn("block", block)
 
 
-def linked_nodes(core: DataFrame) -> DataFrame:
+def in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(c for c in pairs.columns if c not in ("a", "b")))
+
+
+def led_round(entries: DataFrame, state: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One leader for each list, and the comparison of each set with the first leader of its lists.
+
+    The leader is the list's first free set with the smallest share of shingles of its own; a set is
+    compared with one leader of another class, so a round makes one pair for each set at most.
+    Returns the pairs (a: the leader) and the leaders.
+    """
+    e = entries.join(state.select("node", "label", "free"), "node")
+    key = F.struct("rank", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("label").alias("leader_label"))
+    lists = e.groupBy("token").agg(F.min(F.when(F.col("free"), key)).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND lead IS NOT NULL").select("token", "lead.*")
+    near = e.join(lists.withColumnRenamed("rank", "leader_rank"), "token").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos")))
+    chosen = near.groupBy("node").agg(F.min(F.struct("leader_rank", "leader")).alias("first")).select(F.col("first.leader").alias("a"), F.col("node").alias("b"))
+    return materialise(overlaps(chosen, core), "met"), lists.select("leader").distinct()
+
+
+def linked_nodes(core: DataFrame, rounds: int = 4) -> DataFrame:
     """(node, label) of all nodes of ``core`` that link with another."""
-    entries = materialise(core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long"), "entries")
-    key = F.struct((F.col("single") * 1000 / F.col("n")).cast("int").alias("rank"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"))
-    lists = entries.groupBy("token").agg(F.min(key).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "lead.*")
-    star = entries.join(lists, "token").where((F.col("node") != F.col("leader")) & may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos")))
-    met = materialise(overlaps(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), core), "met")
-    linked = met.where("linked")
-    if linked.isEmpty() and met.isEmpty():
-        return core.select("node", F.col("node").alias("label")).limit(0)
-    labels = components(linked)
-    # The nearest leader of each set, and how far it is; a set without one leads itself.
-    leads = linked.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("distance", F.col("a").alias("leader"))).alias("lead")).select("node", "lead.leader", F.col("lead.distance").alias("off"))
-    placed = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_lists = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    placed = materialise(placed.join(mixed_lists, "token").join(leads, "node", "left").select("token", "node", "n", "pos", "label", F.coalesce("leader", "node").alias("leader"), F.coalesce("off", F.lit(0.0)).alias("off")), "placed")
-    index = blocks(placed, False)
-    probes = blocks(placed, True).select("token", "size_class", "block", *(F.col(c).alias("p_" + c) for c in ("node", "n", "pos", "label", "leader", "off")))
-    apart = (F.col("p_label") != F.col("label")) & (F.col("p_node") < F.col("node")) & may_link(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))
-    near = index.join(probes, (index["token"] == probes["token"]) & (index["size_class"] == probes["size_class"]) & (index["block"] == probes["block"]) & apart)
-    near = near.groupBy(F.col("p_node").alias("a"), F.col("node").alias("b")).agg(F.first("p_leader").alias("la"), F.first("leader").alias("lb"), F.first("p_off").alias("off_a"), F.first("off").alias("off_b"))
-    # What has been compared in either order needs no second time.
-    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").alias("known"))
-    near = materialise(near.join(done, ["a", "b"], "left_anti"), "near")
-    led = near.where("la != a OR lb != b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    led = led.join(done, ["a", "b"], "left")
-    fresh = overlaps(led.where("known IS NULL").select("a", "b"), core)
-    apart_by = led.where("known IS NOT NULL").select("a", "b", F.col("known").alias("gap")).unionByName(fresh.select("a", "b", F.col("distance").alias("gap"))).select(F.col("a").alias("l1"), F.col("b").alias("l2"), "gap")
-    left = near.withColumn("l1", F.least("la", "lb")).withColumn("l2", F.greatest("la", "lb")).join(apart_by, ["l1", "l2"], "left").where("gap IS NULL OR gap - off_a - off_b <= 0.25 + 1e-9")
-    more = materialise(overlaps(left.select("a", "b"), core).where("linked").select("a", "b"), "more")
-    return components(linked.select("a", "b").unionByName(more)) if not more.isEmpty() else labels
+    spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long")
+    spread = materialise(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
+    lists = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
+    entries = materialise(spread.join(lists, "token"), "lists")
+    # Each set's class, its leader, how far that is, and whether it may still lead.
+    state = core.select("node", F.col("node").alias("label"), F.col("node").alias("leader"), F.lit(0.0).alias("off"), F.lit(True).alias("free"))
+    met, links, labels = None, None, core.select("node", F.col("node").alias("label")).limit(0)
+    for _ in range(rounds):
+        now, leaders = led_round(entries, state, core)
+        if now.isEmpty():
+            break
+        found = now.where("linked").select("a", "b")
+        met = now if met is None else met.unionByName(now)
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            labels = components(links)
+        led = now.where("linked").select(F.col("b").alias("node"), F.col("a").alias("by"), "distance")
+        used = leaders.select(F.col("leader").alias("node"), F.lit(True).alias("used"))
+        after = state.drop("label").join(labels, "node", "left").join(led, "node", "left").join(used, "node", "left")
+        # A set that leads itself and is no leader of others yet takes the leader that it links with.
+        takes = F.col("by").isNotNull() & F.col("free") & F.col("used").isNull()
+        state = materialise(
+            after.select("node", F.coalesce("label", "node").alias("label"), F.when(takes, F.col("by")).otherwise(F.col("leader")).alias("leader"), F.when(takes, F.col("distance")).otherwise(F.col("off")).alias("off"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")),
+            "state",
+        )
+    if met is None:
+        return labels
+    more = links_between(entries, state, in_order(met.select("a", "b", "distance")), core)
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(more))
+
+
+def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ``state``: all that its leaders' answers do not rule out."""
+    e = entries.join(state.select("node", "label", "leader", "off"), "node")
+    several = e.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
+    e = materialise(e.join(several, "token"), "between")
+    place = ["token", "size_class", "block"]
+    index = blocks(e, False).select(*place, "leader", "label").distinct()
+    probe = blocks(e, True).select(*place, F.col("leader").alias("p_leader"), F.col("label").alias("p_label")).distinct()
+    led = index.join(probe, place).where((F.col("label") != F.col("p_label")) & (F.col("p_leader") < F.col("leader"))).select(F.col("p_leader").alias("a"), F.col("leader").alias("b")).distinct()
+    known = met.groupBy("a", "b").agg(F.min("distance").alias("gap"))
+    led = materialise(led.join(known, ["a", "b"], "left"), "led")
+    fresh = overlaps(led.where("gap IS NULL").select("a", "b"), core).select("a", "b", F.col("distance").alias("gap"))
+    led = materialise(led.where("gap IS NOT NULL").unionByName(fresh), "led")
+    radius = state.groupBy("leader").agg(F.max("off").alias("radius"))
+    wide = led.join(radius.select(F.col("leader").alias("a"), F.col("radius").alias("ra")), "a", "left").join(radius.select(F.col("leader").alias("b"), F.col("radius").alias("rb")), "b", "left")
+    # Leaders that lead nobody and were compared themselves need no more; others are opened if near enough.
+    reach = F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
+    wide = wide.where((reach > 0) & (F.col("gap") - reach <= 0.25 + 1e-9)).select("a", "b", "gap")
+    one = blocks(e, False).select(*place, F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos"), F.col("leader").alias("m_leader"), F.col("off").alias("m_off"))
+    two = blocks(e, True).select(*place, "node", "n", "pos", "leader", "off")
+    either = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    opened = two.join(either.select(F.col("a").alias("leader"), F.col("b").alias("m_leader"), "gap"), "leader")
+    pairs = opened.join(one, [*place, "m_leader"]).where((F.col("m") < F.col("node")) & (F.col("gap") - F.col("off") - F.col("m_off") <= 0.25 + 1e-9) & may_link(F.col("n"), F.col("pos"), F.col("m_n"), F.col("m_pos")))
+    pairs = pairs.select(F.col("m").alias("a"), F.col("node").alias("b")).distinct().join(met, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti")
+    near = led.where("gap <= 0.25").select("a", "b")
+    return materialise(near.unionByName(overlaps(pairs, core).where("linked").select("a", "b")), "more")
 
 
 def classes(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -322,10 +371,10 @@ def deduplicate(docs: DataFrame, k: int = 5) -> DataFrame:
     and of its rows those that are equal in all columns stay once.
     """
     found = materialise(classes(docs, k).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")), "classes")
-    gone = found.where("NOT stays").select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = found.where("stays AND rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("repeated_id"))
+    left = without(docs, found.where("NOT stays").select("doc_id"))
+    own = free_prefix(docs, "__join_")
+    repeated = found.where("stays AND rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own + "id"))
     if repeated.isEmpty():
         return left
-    again = F.col("doc_id") == F.col("repeated_id")
+    again = F.col("doc_id") == F.col(own + "id")
     return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates())
