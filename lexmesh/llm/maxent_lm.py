@@ -32,7 +32,7 @@ ENDINGS, CLASSES = 512, 32
 SIZES = (4096, 8192, 512, 512, 8192, 4096)
 STARTS = np.concatenate([[0], np.cumsum(SIZES)])
 #: Tokens whose softmax is worked out together.
-STEP = 20_000
+STEP = 8_000
 _END = ENDINGS - 1
 
 
@@ -74,13 +74,13 @@ class Tokens:
         return out
 
     def features(self, classes: np.ndarray) -> np.ndarray:
-        """Rows of the weight table that are on for each token, a column for each feature."""
+        """For each feature (a row) the row of its part of the weight table that is on for each token."""
         word, ending = self.hash | np.uint64(1 << 63), (self.ending + 1).astype(np.uint64)
         kind = (classes[self.ending] + 1).astype(np.uint64)
         e, c = [None] + [self.before(ending, k) for k in (1, 2, 3)], [None] + [self.before(kind, k) for k in (1, 2, 3, 4, 5, 6)]
         keys = [self.before(word, 1), e[1] * np.uint64(1024) + e[2], e[2], e[3], (c[1] << np.uint64(12)) + (c[2] << np.uint64(6)) + c[3], (c[4] << np.uint64(12)) + (c[5] << np.uint64(6)) + c[6]]
         hashed = [mixed(k) % np.uint64(n) if n > ENDINGS else k % np.uint64(n) for k, n in zip(keys, SIZES, strict=True)]
-        return np.stack([(h.astype(np.int64) + s) for h, s in zip(hashed, STARTS, strict=False)], 1)
+        return np.stack([h.astype(np.uint16) for h in hashed])
 
 
 def trained(doc_ids: pa.Array) -> np.ndarray:
@@ -137,31 +137,43 @@ def learn_classes(chunks: DataFrame, rounds: int = 25) -> np.ndarray:
     return np.append(near, CLASSES - 1)
 
 
-def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
-    for f in range(1, features.shape[1]):
-        z += weights[features[:, f]]
+def scores(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the weights of the features that are on, less the largest: a row for each token."""
+    parts = [weights[a:b] for a, b in zip(STARTS, STARTS[1:], strict=False)]
+    z = parts[0].take(features[0], 0)
+    more = np.empty_like(z)
+    for part, rows in zip(parts[1:], features[1:], strict=True):
+        z += part.take(rows, 0, out=more, mode="clip")
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    z = scores(weights, features)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    table[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
+def expected_counts(weights: np.ndarray, features: np.ndarray, tables: list[np.ndarray]) -> None:
+    """Add the classes' probabilities to the features that are on; ``tables``: (classes, rows) each."""
+    p = scores(weights, features)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    of_class = p.T.astype(np.float64)
+    for table, rows in zip(tables, features.astype(np.int64), strict=True):
+        for k in range(CLASSES):
+            table[k] += np.bincount(rows, of_class[k], table.shape[1])
 
 
-def learn_weights(chunks: DataFrame, classes: np.ndarray, updates: int = 2, rate: float = 0.5, prior: float = 4.0, start: float = 0.35) -> np.ndarray:
+def learn_weights(chunks: DataFrame, classes: np.ndarray, updates: int = 2, rate: float = 0.4, prior: float = 20.0, start: float = 0.3, damping: float = 30.0) -> np.ndarray:
     """The weight table: from feature counts, then by gradient updates over all training tokens."""
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(STARTS[-1] * CLASSES)
         for tokens in training_tokens(batches):
             own, features = classes[tokens.ending], tokens.features(classes)
-            for f in range(len(SIZES)):
-                table += np.bincount(features[:, f] * CLASSES + own, minlength=len(table))
+            for rows, at, size in zip(features.astype(np.int64), STARTS * CLASSES, SIZES, strict=False):
+                table[at : at + size * CLASSES] += np.bincount(rows * CLASSES + own, minlength=size * CLASSES)
         yield keyed(table.reshape(-1, CLASSES), 1024)
 
     seen = collected(chunks.mapInArrow(observed, "key int, vector binary"), CLASSES, int(STARTS[-1]))
@@ -174,18 +186,15 @@ def learn_weights(chunks: DataFrame, classes: np.ndarray, updates: int = 2, rate
         now = weights.astype(np.float32)
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros((STARTS[-1], CLASSES), np.float64)
+            tables = [np.zeros((CLASSES, size)) for size in SIZES]
             for tokens in training_tokens(batches):
                 features = tokens.features(classes)
-                for i in range(0, len(features), STEP):
-                    part = features[i : i + STEP]
-                    p = np.exp(log_softmax(now, part))
-                    for f in range(part.shape[1]):
-                        add_rows(table, part[:, f], p)
-            yield keyed(table, 1024)
+                for i in range(0, features.shape[1], STEP):
+                    expected_counts(now, features[:, i : i + STEP], tables)
+            yield keyed(np.hstack(tables).T, 1024)
 
         model = collected(chunks.mapInArrow(expected, "key int, vector binary"), CLASSES, int(STARTS[-1]))
-        weights = weights + rate * np.clip((seen - model) / (model + prior), -1.5, 1.5)
+        weights = weights + rate * np.clip((seen - model) / (model + damping), -1.5, 1.5)
     return weights.astype(np.float32)
 
 
@@ -228,7 +237,7 @@ def score_texts(docs: DataFrame, updates: int = 2) -> DataFrame:
                 own, features = classes[tokens.ending], tokens.features(classes)
                 log_p = np.log((c + 0.5) / (of_class[own] + 0.5 * (words_of[own] + 1)))
                 for i in range(0, len(own), STEP):
-                    part = log_softmax(weights, features[i : i + STEP])
+                    part = log_softmax(weights, features[:, i : i + STEP])
                     log_p[i : i + STEP] += part[np.arange(len(part)), own[i : i + STEP]]
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
                 size = len(doc_ids)

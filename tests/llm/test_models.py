@@ -206,5 +206,13 @@ def test_language_model_is_a_distribution():
     weights = rng.normal(size=(int(maxent_lm.STARTS[-1]), maxent_lm.CLASSES)).astype(np.float32)
     tokens = maxent_lm.Tokens.of(pa.array(["a b c d", None, "the end"]))
     features = tokens.features(rng.integers(0, maxent_lm.CLASSES, maxent_lm.ENDINGS))
-    assert features.shape == (9, len(maxent_lm.SIZES)) and (features < maxent_lm.STARTS[1:]).all() and (features >= maxent_lm.STARTS[:-1]).all()
-    assert np.allclose(np.exp(maxent_lm.log_softmax(weights, features)).sum(1), 1, atol=1e-5)
+    assert features.shape == (len(maxent_lm.SIZES), 9) and (features.max(1) < maxent_lm.SIZES).all()
+    p = np.exp(maxent_lm.log_softmax(weights, features))
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    tables = [np.zeros((maxent_lm.CLASSES, n)) for n in maxent_lm.SIZES]
+    maxent_lm.expected_counts(weights, features, tables)
+    for table, rows in zip(tables, features, strict=True):
+        want = np.zeros_like(table)
+        for token, row in enumerate(rows):
+            want[:, row] += p[token]
+        assert np.allclose(table, want, atol=1e-5)
