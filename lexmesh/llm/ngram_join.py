@@ -5,8 +5,9 @@
    shingle of one set alone links nothing, so what comes back is all that the join needs.
 2. Shingles are ordered rarest first. By the prefix filter a set that links has a shared
    shingle in the first n - ceil(0.75 n) + 1; sets without one are done.
-3. In the index each list is cut into blocks by set size and by position in the set. A probe
-   reads only the blocks that sizes and positions allow, and skips the others whole.
+3. In the index each list is cut into blocks by set size, with the bounds of the positions in
+   the sets. A probe skips whole blocks that sizes and positions rule out, and blocks that it
+   met at the token before.
 4. Set relations: in a few rounds every set is compared with one leader of its lists, and sets
    that link become classes. Candidates within a class need no comparison. Between classes,
    leaders are compared first, and a member's answer is derived from its leader's: Jaccard
@@ -170,13 +171,14 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries: token, node, n, single, pos (place of the token in the set's order)."""
+    """Index entries: token, node, n, single, pos (place of the token in the set's order), prev (the token before)."""
     for batch in batches:
         for row in range(batch.num_rows):
             node, n, single = (batch.column(i)[row].as_py() for i in range(3))
             tokens = np.frombuffer(batch.column(3)[row].as_buffer(), "<i8")[: prefix_size(n) - single]
             m = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * m, pa.binary()), pa.array([n] * m), pa.array([single] * m), pa.array(np.arange(single, single + m))], ["token", "node", "n", "single", "pos"])
+            prev = pa.array(np.concatenate([tokens[:1], tokens[:-1]]), mask=np.arange(m) == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * m, pa.binary()), pa.array([n] * m), pa.array([single] * m), pa.array(np.arange(single, single + m)), prev], ["token", "node", "n", "single", "pos", "prev"])
 
 
 def may_link(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -220,23 +222,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks(entries: DataFrame, probe: bool) -> DataFrame:
-    """Entries keyed by list block: set size class, and position block of the larger set's class.
+def size_class() -> Column:
+    """Classes of set sizes: sets that link are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9)
 
-    Sets that link differ in size by a third at most, so a probe reads its own size class and the
-    next; places of a shared token differ by a quarter of the larger set at most, which is under
-    one block of its class, so a probe reads three position blocks of each class.
+
+def list_blocks(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Blocks of the lists: entries of one size class and the given columns, with the bounds of sizes and places.
+
+    ``prev`` is one of the keys: two blocks whose entries had the same token before met there already.
     """
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9)
-    if probe:
-        entries = entries.withColumn("size_class", F.explode(F.array(size - 1, size, size + 1)))
-    else:
-        entries = entries.withColumn("size_class", size)
-    width = F.ceil(F.pow(F.lit(4 / 3), F.col("size_class") + 2) / 4) + 1
-    block = F.floor(F.col("pos") / width)
-    if probe:
-        return entries.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).where("block >= 0")
-    return entries.withColumn("block", block)
+    keyed = entries.withColumn("size_class", size_class())
+    return keyed.groupBy("token", "size_class", "prev", *by).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max(F.col("n") - F.col("pos") - 1).alias("rest"))
+
+
+def probes(blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks as probes: each reads the blocks of its own size class and of the next."""
+    twice = blocks.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
+    return twice.select("token", "size_class", *(F.col(c).alias("p_" + c) for c in ("prev", "low_n", "high_n", "high_pos", "rest", *columns)))
+
+
+def block_may_link() -> Column:
+    """A block and a probing block may hold sets that link, and did not meet at the token before."""
+    most = F.least("high_pos", "p_high_pos") + 1 + F.least("rest", "p_rest")
+    sizes = (4 * F.col("high_n") >= 3 * F.col("p_low_n")) & (4 * F.col("p_high_n") >= 3 * F.col("low_n"))
+    return (7 * most >= 3 * (F.col("low_n") + F.col("p_low_n"))) & sizes & ~F.coalesce(F.col("prev") == F.col("p_prev"), F.lit(False))
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -258,50 +268,52 @@ def led_round(entries: DataFrame, state: DataFrame, core: DataFrame) -> tuple[Da
     return materialise(overlaps(chosen, core), "met"), lists.select("leader").distinct()
 
 
-def linked_nodes(core: DataFrame, rounds: int = 4) -> DataFrame:
+def linked_nodes(core: DataFrame, rounds: int = 2) -> DataFrame:
     """(node, label) of all nodes of ``core`` that link with another."""
-    spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long")
+    spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long, prev long")
     spread = materialise(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
     lists = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
     entries = materialise(spread.join(lists, "token"), "lists")
-    # Each set's class, its leader, how far that is, and whether it may still lead.
+    # Each set's class as far as known, its leader, how far that is, and whether it may still lead.
     state = core.select("node", F.col("node").alias("label"), F.col("node").alias("leader"), F.lit(0.0).alias("off"), F.lit(True).alias("free"))
-    met, links, labels = None, None, core.select("node", F.col("node").alias("label")).limit(0)
+    met = None
     for _ in range(rounds):
         now, leaders = led_round(entries, state, core)
         if now.isEmpty():
             break
-        found = now.where("linked").select("a", "b")
         met = now if met is None else met.unionByName(now)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(links)
         led = now.where("linked").select(F.col("b").alias("node"), F.col("a").alias("by"), "distance")
         used = leaders.select(F.col("leader").alias("node"), F.lit(True).alias("used"))
-        after = state.drop("label").join(labels, "node", "left").join(led, "node", "left").join(used, "node", "left")
-        # A set that leads itself and is no leader of others yet takes the leader that it links with.
+        after = state.join(led, "node", "left").join(used, "node", "left")
+        # A set that leads itself and no other takes the leader that it links with.
         takes = F.col("by").isNotNull() & F.col("free") & F.col("used").isNull()
         state = materialise(
-            after.select("node", F.coalesce("label", "node").alias("label"), F.when(takes, F.col("by")).otherwise(F.col("leader")).alias("leader"), F.when(takes, F.col("distance")).otherwise(F.col("off")).alias("off"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")),
+            after.select("node", F.coalesce("by", "label").alias("label"), F.when(takes, F.col("by")).otherwise(F.col("leader")).alias("leader"), F.when(takes, F.col("distance")).otherwise(F.col("off")).alias("off"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")),
             "state",
         )
     if met is None:
-        return labels
+        return core.select("node", F.col("node").alias("label")).limit(0)
+    labels = components(met.where("linked").select("a", "b"))
+    state = materialise(state.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "state")
     more = links_between(entries, state, in_order(met.select("a", "b", "distance")), core)
     if more.isEmpty():
         return labels
-    return components(links.unionByName(more))
+    # Further links join classes: their labels are the nodes of a second, small graph.
+    of = state.select("node", "label")
+    joined = components(more.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    renamed = of.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
+    return renamed.select("node", F.coalesce("final", "label").alias("label"))
 
 
 def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: DataFrame) -> DataFrame:
     """Links (a, b) between the classes of ``state``: all that its leaders' answers do not rule out."""
     e = entries.join(state.select("node", "label", "leader", "off"), "node")
     several = e.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    e = materialise(e.join(several, "token"), "between")
-    place = ["token", "size_class", "block"]
-    index = blocks(e, False).select(*place, "leader", "label").distinct()
-    probe = blocks(e, True).select(*place, F.col("leader").alias("p_leader"), F.col("label").alias("p_label")).distinct()
-    led = index.join(probe, place).where((F.col("label") != F.col("p_label")) & (F.col("p_leader") < F.col("leader"))).select(F.col("p_leader").alias("a"), F.col("leader").alias("b")).distinct()
+    e = materialise(e.join(several, "token").drop("rank"), "between")
+    place = ["token", "size_class"]
+    led_blocks = list_blocks(e, ["leader", "label"])
+    led = led_blocks.join(probes(led_blocks, ["leader", "label"]), place).where((F.col("label") != F.col("p_label")) & (F.col("p_leader") != F.col("leader")) & block_may_link())
+    led = led.select(F.least("p_leader", "leader").alias("a"), F.greatest("p_leader", "leader").alias("b")).distinct()
     known = met.groupBy("a", "b").agg(F.min("distance").alias("gap"))
     led = materialise(led.join(known, ["a", "b"], "left"), "led")
     fresh = overlaps(led.where("gap IS NULL").select("a", "b"), core).select("a", "b", F.col("distance").alias("gap"))
@@ -311,13 +323,14 @@ def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: Da
     # Leaders that lead nobody and were compared themselves need no more; others are opened if near enough.
     reach = F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
     wide = wide.where((reach > 0) & (F.col("gap") - reach <= 0.25 + 1e-9)).select("a", "b", "gap")
-    one = blocks(e, False).select(*place, F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos"), F.col("leader").alias("m_leader"), F.col("off").alias("m_off"))
-    two = blocks(e, True).select(*place, "node", "n", "pos", "leader", "off")
-    either = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
-    opened = two.join(either.select(F.col("a").alias("leader"), F.col("b").alias("m_leader"), "gap"), "leader")
-    pairs = opened.join(one, [*place, "m_leader"]).where((F.col("m") < F.col("node")) & (F.col("gap") - F.col("off") - F.col("m_off") <= 0.25 + 1e-9) & may_link(F.col("n"), F.col("pos"), F.col("m_n"), F.col("m_pos")))
-    pairs = pairs.select(F.col("m").alias("a"), F.col("node").alias("b")).distinct().join(met, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti")
     near = led.where("gap <= 0.25").select("a", "b")
+    if wide.isEmpty():
+        return near
+    own = list_blocks(e, ["node", "leader", "off"])
+    either = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    opened = probes(own, ["node", "leader", "off"]).join(either.select(F.col("a").alias("p_leader"), F.col("b").alias("leader"), "gap"), "p_leader")
+    pairs = opened.join(own, [*place, "leader"]).where((F.col("gap") - F.col("off") - F.col("p_off") <= 0.25 + 1e-9) & block_may_link())
+    pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti")
     return materialise(near.unionByName(overlaps(pairs, core).where("linked").select("a", "b")), "more")
 
 
