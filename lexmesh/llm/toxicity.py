@@ -33,26 +33,42 @@ QUOTES = ('"', "“", "”", "„", "«", "»", "‘", "’")
 
 def allowed(term: str) -> int:
     """Edits that a term of this length may suffer."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class Automaton:
-    """Levenshtein automaton of a word: states are rows of the distance table, cut at k."""
+    """Levenshtein automaton of a word for up to k edits.
+
+    A state holds, for each number d of edits, the set of lengths of the word's beginnings that
+    what was read may be with d edits at most, as the bits of an integer.
+    """
 
     def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
+        self.size, self.k, self.full = len(word), k, (2 << len(word)) - 1
+        self.at: dict[str, int] = {}
+        for i, char in enumerate(word):
+            self.at[char] = self.at.get(char, 0) | 1 << i
 
     def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.k + 1) for i in range(len(self.word) + 1))
-
-    def step(self, row: tuple[int, ...], char: str) -> tuple[int, ...]:
-        out = [min(row[0] + 1, self.k + 1)]
-        for i, own in enumerate(self.word):
-            out.append(min(row[i] + (own != char), row[i + 1] + 1, out[i] + 1, self.k + 1))
+        return tuple((2 << d) - 1 & self.full for d in range(self.k + 1))
+
+    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
+        here = self.at.get(char, 0)
+        fewer, last = 0, 0
+        out = []
+        for now in state:
+            # Read as the word's next character, as an extra one or in place of one; or the word's next is skipped.
+            last = ((now & here) << 1 | fewer | fewer << 1 | last | last << 1) & self.full
+            out.append(last)
+            fewer = now
         return tuple(out)
 
-    def alive(self, row: tuple[int, ...]) -> bool:
-        return min(row) <= self.k
+    def alive(self, state: tuple[int, ...]) -> bool:
+        return state[-1] != 0
+
+    def distance(self, state: tuple[int, ...]) -> int:
+        """Edits between the whole word and what was read; k + 1 if there are more."""
+        return next((d for d, now in enumerate(state) if now >> self.size & 1), self.k + 1)
 
 
 class Trie:
@@ -77,8 +93,8 @@ class Trie:
         while stack:
             node, row = stack.pop()
             term = node.get("")
-            if term is not None and row[-1] <= self.allowed[term] and (best is None or (row[-1], term) < best[::-1]):
-                best = (term, row[-1])
+            if term is not None and (d := automaton.distance(row)) <= self.allowed[term] and (best is None or (d, term) < best[::-1]):
+                best = (term, d)
             for char, child in node.items():
                 if char and automaton.alive(after := automaton.step(row, char)):
                     stack.append((child, after))
@@ -91,21 +107,20 @@ class Matcher:
     def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = (), exact_only: Iterable[str] = ()):
         self.trie, self.clean_forms, self.seen = Trie(terms, exact_only), frozenset(clean_forms), {}
         # By pigeonhole a match keeps one of k + 1 pieces of its term, shifted by k characters at most.
-        self.pieces: dict[tuple[int, int, bool], set[bytes]] = {}
+        # An edit changes a word's bytes by three at most.
+        self.pieces: dict[tuple[int, int, bool, int, int], set[bytes]] = {}
         for term in self.trie.terms:
             k, n = self.trie.allowed[term], len(term)
             cuts = [n * i // (k + 1) for i in range(k + 2)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                piece = term[a:b].encode()
+                piece, size = term[a:b].encode(), len(term.encode())
                 if i == 0 or i == k:
-                    self.pieces.setdefault((0, len(piece), i > 0), set()).add(piece)
+                    self.pieces.setdefault((0, len(piece), i > 0, size - 3 * k, size + 3 * k), set()).add(piece)
                 else:
                     at = len(term[:a].encode())
                     for shift in range(-4 * k, 4 * k + 1):
                         if at + shift >= 0:
-                            self.pieces.setdefault((at + shift, len(piece), False), set()).add(piece)
-        sizes = [len(t.encode()) for t in self.trie.terms]
-        self.least, self.most = min(sizes, default=1) - 8, max(sizes, default=0) + 8
+                            self.pieces.setdefault((at + shift, len(piece), False, size - 3 * k, size + 3 * k), set()).add(piece)
         self.tables = {key: np.sort(self.hashed(sorted(v))) for key, v in self.pieces.items()}
 
     @staticmethod
@@ -115,8 +130,8 @@ class Matcher:
 
     def likely(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out, sizes = np.zeros(len(starts), bool), ends - starts
-        for (at, size, last), table in self.tables.items():
-            rows = np.flatnonzero(~out & (sizes >= at + size) & (sizes >= self.least) & (sizes <= self.most))
+        for (at, size, last, least, most), table in self.tables.items():
+            rows = np.flatnonzero(~out & (sizes >= max(at + size, least)) & (sizes <= most))
             a = ends[rows] - size if last else starts[rows] + at
             h = texts.hashes(a, a + size, True)
             i = np.minimum(np.searchsorted(table, h), len(table) - 1)
@@ -130,11 +145,12 @@ class Matcher:
         full = np.flatnonzero(ends > starts)
         hashes, first, inverse = np.unique(texts.hashes(starts[full], ends[full], True), return_index=True, return_inverse=True)
         found: list = [None] * len(hashes)
-        likely = self.likely(texts, starts[full][first], ends[full][first]) if self.tables else np.zeros(len(hashes), bool)
+        starts, ends = starts[full][first], ends[full][first]
+        likely = self.likely(texts, starts, ends) if self.tables else np.zeros(len(hashes), bool)
         for i in np.flatnonzero(likely):
             key = int(hashes[i])
             if key not in self.seen:
-                form = texts.slice(starts[full][first[i]], ends[full][first[i]]).lower()
+                form = texts.slice(starts[i], ends[i]).lower()
                 near = None if form in self.clean_forms else self.trie.nearest(form)
                 self.seen[key] = None if near is None else (form, *near)
             found[i] = self.seen[key]
