@@ -11,6 +11,7 @@ text's sum of hits into a score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.quality_classifier import fit_logistic
-from lexmesh.llm.shared import remainder
+from lexmesh.llm.shared import materialise, remainder
 from lexmesh.llm.textbytes import Texts, sliced
 
 _TRIM = np.zeros(256, bool)
@@ -210,9 +211,10 @@ def weighed_hits(texts: Texts, matcher: Matcher, window: int) -> list[tuple[int,
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95, crowd: int = 3) -> Model:
     """Fit on at most ``max_rows`` labelled rows of ``docs`` (the first by a hash of the id).
 
-    A term is a word of two letters or more with ``min_contexts`` different neighbours in toxic
-    texts, and in as many toxic texts, whose document rate in toxic texts is ``share`` of both rates
-    together at least. A term near which clean texts have ``crowd`` forms matches exactly or not at all.
+    A term is a word of two letters or more in ``min_contexts`` toxic texts at least, with so many
+    different neighbours there that chance does not explain it, whose document rate in toxic texts is
+    ``share`` of both rates together at least. A term near which clean texts have ``crowd`` forms
+    matches exactly or not at all.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows).select("labelled_id", "toxic")
@@ -230,11 +232,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
             words = [texts.slice(a[i], b[i]).lower() for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pair[full].view(np.int64)), batch.column(0).take(pa.array(text[full]))], ["word", "pair", "doc_id"])
 
-    toxic_words = rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, doc_id long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("doc_id").alias("toxic_docs")).where((F.col("contexts") >= min_contexts) & (F.col("toxic_docs") >= min_contexts)).toPandas()
+    toxic_words = materialise(rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, doc_id long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("doc_id").alias("toxic_docs")), "words")
     size = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("toxic")["n"]
     n_toxic, n_clean = int(size.get(1, 0)), int(size.get(0, 0))
     if not n_toxic or not n_clean:
         return Model()
+    # So many contexts that not one of all the words has them in toxic texts alone by chance.
+    chance = math.log(0.01 / max(toxic_words.count(), 1)) / math.log(n_toxic / (n_toxic + n_clean))
+    needed = max(min_contexts, math.ceil(chance))
+    toxic_words = toxic_words.where((F.col("contexts") >= needed) & (F.col("toxic_docs") >= min_contexts)).toPandas()
     candidates = sorted(toxic_words["word"])
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
