@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.shared import materialise
+from lexmesh.llm.shared import free_prefix, materialise
 from lexmesh.llm.textbytes import BLANK, Texts, mixed, runs, sliced
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_same_words")
@@ -203,6 +203,10 @@ def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 20000) -> DataFram
 
 def keep(docs: DataFrame, labels: DataFrame, max_rows: int = 20000) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
-    marks = labels.select(F.col("doc_id").alias("labelled_id")).distinct()
-    rules = learn(*training_rows(with_counts(docs.join(marks, F.col("doc_id") == F.col("labelled_id"), "left_semi").select("doc_id", "text"), ["doc_id"], "__s_"), labels, max_rows))
-    return with_counts(docs, docs.columns, "__s_").where(~base_failed("__s_") & verdict(rules, "__s_")).select(docs.columns)
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("labelled_id")).distinct()
+    sample = marks.join(docs.select("doc_id").distinct(), F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("labelled_id")
+    # At most max_rows ids are broadcast.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left_semi")
+    rules = learn(*training_rows(with_counts(labelled, ["doc_id"], "__s_"), labels, max_rows))
+    own = free_prefix(docs, "__s_")
+    return with_counts(docs, docs.columns, own).where(~base_failed(own) & verdict(rules, own)).select(docs.columns)
