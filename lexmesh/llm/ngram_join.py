@@ -171,19 +171,23 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries: token, node, n, single, pos (place of the token in the set's order), prev (the token before)."""
+    """Index entries: token, node, n, single, pos and rest (shared shingles before and after it), prev (the token before)."""
     for batch in batches:
         for row in range(batch.num_rows):
             node, n, single = (batch.column(i)[row].as_py() for i in range(3))
-            tokens = np.frombuffer(batch.column(3)[row].as_buffer(), "<i8")[: prefix_size(n) - single]
+            core = np.frombuffer(batch.column(3)[row].as_buffer(), "<i8")
+            tokens = core[: prefix_size(n) - single]
             m = len(tokens)
             prev = pa.array(np.concatenate([tokens[:1], tokens[:-1]]), mask=np.arange(m) == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * m, pa.binary()), pa.array([n] * m), pa.array([single] * m), pa.array(np.arange(single, single + m)), prev], ["token", "node", "n", "single", "pos", "prev"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array([node] * m, pa.binary()), pa.array([n] * m), pa.array([single] * m), pa.array(np.arange(m)), pa.array(len(core) - 1 - np.arange(m)), prev], ["token", "node", "n", "single", "pos", "rest", "prev"])
 
 
-def may_link(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Sizes n, m and places i, j of a shared token allow a Jaccard similarity of 0.75."""
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+def may_link(n: Column, pos: Column, rest: Column, m: Column, other_pos: Column, other_rest: Column) -> Column:
+    """Sets of n and m shingles that share a token may reach a Jaccard similarity of 0.75.
+
+    Only shared shingles can be common: at most the fewer before the token, itself, and the fewer after.
+    """
+    most = F.least(pos, other_pos) + 1 + F.least(rest, other_rest)
     return (7 * most >= 3 * (n + m)) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
 
 
@@ -233,13 +237,13 @@ def list_blocks(entries: DataFrame, by: list[str]) -> DataFrame:
     ``prev`` is one of the keys: two blocks whose entries had the same token before met there already.
     """
     keyed = entries.withColumn("size_class", size_class())
-    return keyed.groupBy("token", "size_class", "prev", *by).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max(F.col("n") - F.col("pos") - 1).alias("rest"))
+    return keyed.groupBy("token", "size_class", "prev", *by).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max("rest").alias("rest"))
 
 
 def probes(blocks: DataFrame, columns: list[str]) -> DataFrame:
     """Blocks as probes: each reads the blocks of its own size class and of the next."""
-    twice = blocks.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
-    return twice.select("token", "size_class", *(F.col(c).alias("p_" + c) for c in ("prev", "low_n", "high_n", "high_pos", "rest", *columns)))
+    twice = blocks.withColumn("p_class", F.col("size_class")).withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
+    return twice.select("token", "size_class", "p_class", *(F.col(c).alias("p_" + c) for c in ("prev", "low_n", "high_n", "high_pos", "rest", *columns)))
 
 
 def block_may_link() -> Column:
@@ -261,16 +265,16 @@ def led_round(entries: DataFrame, state: DataFrame, core: DataFrame) -> tuple[Da
     Returns the pairs (a: the leader) and the leaders.
     """
     e = entries.join(state.select("node", "label", "free"), "node")
-    key = F.struct("rank", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("label").alias("leader_label"))
+    key = F.struct("rank", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("rest").alias("leader_rest"), F.col("label").alias("leader_label"))
     lists = e.groupBy("token").agg(F.min(F.when(F.col("free"), key)).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND lead IS NOT NULL").select("token", "lead.*")
-    near = e.join(lists.withColumnRenamed("rank", "leader_rank"), "token").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos")))
+    near = e.join(lists.withColumnRenamed("rank", "leader_rank"), "token").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("leader_n"), F.col("leader_pos"), F.col("leader_rest")))
     chosen = near.groupBy("node").agg(F.min(F.struct("leader_rank", "leader")).alias("first")).select(F.col("first.leader").alias("a"), F.col("node").alias("b"))
     return materialise(overlaps(chosen, core), "met"), lists.select("leader").distinct()
 
 
 def linked_nodes(core: DataFrame, rounds: int = 2) -> DataFrame:
     """(node, label) of all nodes of ``core`` that link with another."""
-    spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long, prev long")
+    spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long, rest long, prev long")
     spread = materialise(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
     lists = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
     entries = materialise(spread.join(lists, "token"), "lists")
@@ -312,7 +316,7 @@ def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: Da
     e = materialise(e.join(several, "token").drop("rank"), "between")
     place = ["token", "size_class"]
     led_blocks = list_blocks(e, ["leader", "label"])
-    led = led_blocks.join(probes(led_blocks, ["leader", "label"]), place).where((F.col("label") != F.col("p_label")) & (F.col("p_leader") != F.col("leader")) & block_may_link())
+    led = led_blocks.join(probes(led_blocks, ["leader", "label"]), place).where((F.col("label") != F.col("p_label")) & ((F.col("p_class") < F.col("size_class")) | (F.col("p_leader") < F.col("leader"))) & block_may_link())
     led = led.select(F.least("p_leader", "leader").alias("a"), F.greatest("p_leader", "leader").alias("b")).distinct()
     known = met.groupBy("a", "b").agg(F.min("distance").alias("gap"))
     led = materialise(led.join(known, ["a", "b"], "left"), "led")
@@ -329,7 +333,7 @@ def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: Da
     own = list_blocks(e, ["node", "leader", "off"])
     either = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
     opened = probes(own, ["node", "leader", "off"]).join(either.select(F.col("a").alias("p_leader"), F.col("b").alias("leader"), "gap"), "p_leader")
-    pairs = opened.join(own, [*place, "leader"]).where((F.col("gap") - F.col("off") - F.col("p_off") <= 0.25 + 1e-9) & block_may_link())
+    pairs = opened.join(own, [*place, "leader"]).where(((F.col("p_class") < F.col("size_class")) | (F.col("p_node") < F.col("node"))) & (F.col("gap") - F.col("off") - F.col("p_off") <= 0.25 + 1e-9) & block_may_link())
     pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti")
     return materialise(near.unionByName(overlaps(pairs, core).where("linked").select("a", "b")), "more")
 
