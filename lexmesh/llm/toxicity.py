@@ -34,7 +34,7 @@ QUOTES = ('"', "“", "”", "„", "«", "»", "‘", "’")
 
 def allowed(term: str) -> int:
     """Edits that a term of this length may suffer."""
-    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
@@ -108,7 +108,7 @@ class Matcher:
     def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = (), exact_only: Iterable[str] = ()):
         self.trie, self.clean_forms, self.seen = Trie(terms, exact_only), frozenset(clean_forms), {}
         # By pigeonhole a match keeps one of k + 1 pieces of its term, shifted by k characters at most.
-        # An edit changes a word's bytes by three at most.
+        # An edit changes a word's bytes by four at most.
         self.pieces: dict[tuple[int, int, bool, int, int], set[bytes]] = {}
         for term in self.trie.terms:
             k, n = self.trie.allowed[term], len(term)
@@ -116,12 +116,12 @@ class Matcher:
             for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 piece, size = term[a:b].encode(), len(term.encode())
                 if i == 0 or i == k:
-                    self.pieces.setdefault((0, len(piece), i > 0, size - 3 * k, size + 3 * k), set()).add(piece)
+                    self.pieces.setdefault((0, len(piece), i > 0, size - 4 * k, size + 4 * k), set()).add(piece)
                 else:
                     at = len(term[:a].encode())
                     for shift in range(-4 * k, 4 * k + 1):
                         if at + shift >= 0:
-                            self.pieces.setdefault((at + shift, len(piece), False, size - 3 * k, size + 3 * k), set()).add(piece)
+                            self.pieces.setdefault((at + shift, len(piece), False, size - 4 * k, size + 4 * k), set()).add(piece)
         self.tables = {key: np.sort(self.hashed(sorted(v))) for key, v in self.pieces.items()}
 
     @staticmethod

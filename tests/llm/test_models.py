@@ -170,6 +170,26 @@ def test_automata_find_the_nearest_term(terms, words):
     assert dict(zip(at.tolist(), what, strict=True)) == {i: (w, *nearest(w)) for i, w in enumerate(full) if nearest(w)}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_two_edits_from_nine_letters_on(data):
+    """Terms of 9 to 16 letters with two edits, transpositions and four-byte letters among them, are found through the pieces."""
+    terms = data.draw(st.sets(st.text("abcdeé", min_size=9, max_size=16), min_size=1, max_size=6))
+    words = []
+    for term in sorted(terms):
+        word = term
+        for _ in range(2):
+            at, char = data.draw(st.integers(0, len(word) - 1)), data.draw(st.sampled_from("abzé🎉"))
+            word = data.draw(st.sampled_from([word[:at] + char + word[at + 1 :], word[:at] + char + word[at:], word[:at] + word[at + 1 :]]))
+        at = data.draw(st.integers(0, len(term) - 2))
+        words += [word, term[:at] + term[at + 1] + term[at] + term[at + 2 :]]
+    _, at, what, _ = toxicity.Matcher(terms).hits(Texts(pa.array([" ".join(words)])))
+    found = dict(zip(at.tolist(), what, strict=True))
+    for i, word in enumerate(words):
+        d, term = min((levenshtein_of(word, t), t) for t in terms)
+        assert d <= 2 and found[i] == (word, term, d)
+
+
 def test_context_weights():
     plain = toxicity.context_weight(["a"], "loser", ["b"])
     assert toxicity.context_weight(["a"], '"loser"', ["b"]) < plain < toxicity.context_weight(["you"], "loser", ["b"])
