@@ -75,11 +75,10 @@ class Automaton:
 class Trie:
     """The lexicon as nested dicts; ``""`` marks the end of a term."""
 
-    def __init__(self, terms: Iterable[str], exact_only: Iterable[str] = ()):
+    def __init__(self, terms: Iterable[str]):
         self.root: dict = {}
         self.terms = sorted(terms)
-        exact_only = frozenset(exact_only)
-        self.allowed = {t: 0 if t in exact_only else allowed(t) for t in self.terms}
+        self.allowed = {t: allowed(t) for t in self.terms}
         for term in self.terms:
             node = self.root
             for char in term:
@@ -105,8 +104,8 @@ class Trie:
 class Matcher:
     """Finds the words of texts that match a lexicon; remembers the words it has seen."""
 
-    def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = (), exact_only: Iterable[str] = ()):
-        self.trie, self.clean_forms, self.seen = Trie(terms, exact_only), frozenset(clean_forms), {}
+    def __init__(self, terms: Iterable[str], clean_forms: Iterable[str] = ()):
+        self.trie, self.clean_forms, self.seen = Trie(terms), frozenset(clean_forms), {}
         # By pigeonhole a match keeps one of k + 1 pieces of its term, shifted by k characters at most.
         # An edit changes a word's bytes by four at most.
         self.pieces: dict[tuple[int, int, bool, int, int], set[bytes]] = {}
@@ -183,11 +182,10 @@ def context_weight(before: list[str], own: str, after: list[str]) -> float:
 
 @dataclass
 class Model:
-    """Lexicon, forms that are not misspellings, terms amid ordinary words, and the curve from hits to a score."""
+    """Lexicon, forms that are not misspellings, and the curve from hits to a score."""
 
     terms: list[str] = field(default_factory=list)
     clean_forms: list[str] = field(default_factory=list)
-    exact_only: list[str] = field(default_factory=list)
     slope: float = 6.0
     bias: float = -2.5
     window: int = 6
@@ -208,13 +206,13 @@ def weighed_hits(texts: Texts, matcher: Matcher, window: int) -> list[tuple[int,
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95, crowd: int = 3) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95) -> Model:
     """Fit on at most ``max_rows`` labelled rows of ``docs`` (the first by a hash of the id).
 
     A term is a word of two letters or more in ``min_contexts`` toxic texts at least, with so many
     different neighbours there that chance does not explain it, whose document rate in toxic texts is
-    ``share`` of both rates together at least. A term near which clean texts have ``crowd`` forms
-    matches exactly or not at all.
+    ``share`` of both rates together at least. Near forms that clean texts
+    have are excluded one by one.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows).select("labelled_id", "toxic")
@@ -273,9 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
     per_form = near.groupby(["form", "toxic"]).size().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
     clean_rate, toxic_rate = (per_form[0] + 0.0) / n_clean, per_form[1] / n_toxic
     model.clean_forms = sorted(per_form.index[(clean_rate > 0) & (toxic_rate < share * (toxic_rate + clean_rate))])
-    crowds = near[near["form"].isin(model.clean_forms)].groupby("term")["form"].nunique()
-    model.exact_only = sorted(crowds.index[crowds >= crowd])
-    totals = found[~(found["form"].isin(model.clean_forms) | found["term"].isin(model.exact_only)) | (found["distance"] == 0)].groupby(["doc_id", "toxic"])["weight"].sum().reset_index()
+    totals = found[~found["form"].isin(model.clean_forms) | (found["distance"] == 0)].groupby(["doc_id", "toxic"])["weight"].sum().reset_index()
     # Rows without a hit count with a total of zero.
     x = np.concatenate([totals["weight"].to_numpy(), [0.0, 0.0]])
     y = np.concatenate([totals["toxic"].to_numpy(float), [0.0, 1.0]])
@@ -288,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.clean_forms, model.exact_only)
+        matcher = Matcher(model.terms, model.clean_forms)
         for batch, texts in sliced(batches, "text"):
             total, exact, near = np.zeros(texts.n), np.zeros(texts.n, np.int64), np.zeros(texts.n, np.int64)
             for t, _, _, d, weight in weighed_hits(texts, matcher, model.window):

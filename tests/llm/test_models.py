@@ -149,6 +149,22 @@ def test_toxicity(frames, corpus, spark):
     assert len(rows) == 1508
 
 
+def test_misspellings_of_a_term_amid_clean_words(spark):
+    """Clean texts that hold near forms of a term take those forms alone, however many there are."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "tu"]) for _ in range(3)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(20)]
+        text.insert(rng.randrange(20), "grubbel" if i % 4 == 0 else rng.choice(["trubbel", "grabbel", "grubbes", "grubbet"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, None, int(i % 4 == 0)))
+    more = [(1000, "ka grubbwl mi"), (1001, "ka grabbel mi"), (1002, "ka mi")]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows + more, "doc_id long, text string"), spark.createDataFrame(labels, LABELS))
+    score = {r.doc_id: (r.score, r.n_misspelled) for r in got.where("doc_id >= 1000").collect()}
+    assert score[1000][1] == 1 and score[1000][0] > score[1001][0] == score[1002][0] and score[1001][1] == 0
+
+
 def test_toxicity_on_odd_rows(docs, small, empty, spark):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.score_toxicity(docs, none).count() == len(small)
