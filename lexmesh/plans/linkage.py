@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein
 from lexmesh.functions import phonetic as ph
 from lexmesh.operators import best_match, block_pairs, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
 from lexmesh.operators.linkage import ranked_matches
-from lexmesh.sources import read_table, words
+from lexmesh.sources import all_words, read_table, words
 
 
 def sql_soundex(word: str) -> str:
@@ -68,12 +70,12 @@ def unaccent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def double_metaphone_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(read_table(spark, sf_dir, "documents"), "text").select("word", F.array_join(double_metaphone("word"), "/").alias("codes"))
+    return all_words(read_table(spark, sf_dir, "documents"), "text").select("word", F.array_join(double_metaphone("word"), "/").alias("codes"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = words(read_table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("word", "left_word")
-    return left, words(read_table(spark, sf_dir, "conversations"), "text").withColumnRenamed("word", "right_word")
+def _sides(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame, str], DataFrame] = words) -> tuple[DataFrame, DataFrame]:
+    left = of(read_table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("word", "left_word")
+    return left, of(read_table(spark, sf_dir, "conversations"), "text").withColumnRenamed("word", "right_word")
 
 
 def block_soundex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def block_soundex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_metaphone_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_pairs(*_sides(spark, sf_dir), "left_word", "right_word", metaphone_keys)
+    return block_pairs(*_sides(spark, sf_dir, all_words), "left_word", "right_word", metaphone_keys)
 
 
 def fuzzy_join_words(spark: SparkSession, sf_dir: str) -> DataFrame:

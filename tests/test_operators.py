@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmesh.functions.distance import damerau
+from lexmesh.functions.phonetic import metaphone
 from lexmesh.functions.sql import levenshtein_of, soundex_of
 from lexmesh.operators import best_match, block_pairs, deletion_keys, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
 from lexmesh.operators.linkage import ranked_matches
@@ -69,6 +70,19 @@ def test_words(spark):
     assert {r.word for r in words(df, "t").collect()} == {"the", "cat", "dog", "ok"}
 
 
+def test_metaphone_queries_take_all_words(spark, tmp_path):
+    from lexmesh import catalog
+
+    for name, text in (("documents", "Façade, façade Straße mañana3 42 ok"), ("benchmark", "façade Müller"), ("conversations", "fassade MÜLLER muller")):
+        write_table(spark.createDataFrame([(text,), (None,)], "text string"), str(tmp_path), name)
+    found = {r.word: r.codes for r in catalog.queries()["double_metaphone"](spark, str(tmp_path)).collect()}
+    assert set(found) == {"façade", "straße", "mañana3", "42", "ok"}
+    assert all(codes == "/".join(metaphone(word)) for word, codes in found.items())
+    pairs = {tuple(r) for r in catalog.queries()["block_metaphone_join"](spark, str(tmp_path)).collect()}
+    want = {(a, b) for a in ("façade", "müller") for b in ("fassade", "müller", "muller") if set(metaphone(a)) & set(metaphone(b))}
+    assert pairs == want and ("müller", "müller") in pairs
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("Robert", 0), ("Rupert", 60), ("Ashcraft", 400)], "name string, s int").select("name", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("name string, ts timestamp").parquet(str(tmp_path / "in"))
