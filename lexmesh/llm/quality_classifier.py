@@ -3,12 +3,13 @@
 The text view sees what the text is made of (its characters, hashed words, repetition);
 the metadata view sees what the record says about it (source, language, length, layout of
 lines). Two logistic models start from the labelled rows; in each round each model passes
-its most confident pseudo-labels on unlabelled rows to the other. Both are then calibrated
+its confident pseudo-labels on unlabelled rows to the other. Both are then calibrated
 on held-out labelled rows and combined by a logistic model of the two calibrated scores,
 which scores every whole document.
 
-Fitting uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled rows, the first
-by a hash of the id; scoring reads all rows, in numpy batches where they lie.
+At most ``max_labelled`` labelled rows, the first by a hash of the id, are held by the driver.
+Each round reads all other rows where they lie, in numpy batches, and sends sums of fixed size
+over every confident one; scoring reads all rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,19 @@ def metadata_view(part: pa.RecordBatch, texts: Texts, c: dict[str, np.ndarray])
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the weighted logistic loss."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.05, pull: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the weighted logistic loss.
+
+    ``pull`` (where to start, gradient and curvature there; the bias last) adds a quadratic term.
+    """
+    w, b = (pull[0][:-1], float(pull[0][-1])) if pull else (np.zeros(x.shape[1]), 0.0)
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
         gap = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * weight
         g = np.append(x.T @ gap + l2 * w, gap.sum())
+        if pull:
+            g += pull[1] + pull[2] @ (np.append(w, b) - pull[0])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -83,8 +90,11 @@ class View:
     scale: float = 1.0
     shift: float = 0.0
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.w + self.b
+        return self.standard(x) @ self.w + self.b
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.scale * self.raw(x) + self.shift
@@ -131,6 +141,11 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
             for kind, sure, portion in ((1, p, base), (0, 1 - p, 1 - base)):
                 best = np.argsort(-sure, kind="stable")[: max(1, int(share * portion * len(pool)))]
                 taught[1 - k] |= {int(free[i]): kind for i in best if sure[i] >= confident}
+    return combined(models, views, label, held)
+
+
+def combined(models: list[View], views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray) -> CoTrained:
+    """Both views calibrated and combined on the held-out labelled rows."""
     y = label[held].astype(float)
     if 0 < y.sum() < len(y):
         for model, x in zip(models, views, strict=True):
@@ -153,21 +168,91 @@ def featured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(features, "doc_id long, label int, text_view binary, meta_view binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 6000) -> CoTrained | None:
-    """Co-train on at most ``max_labelled`` labelled and ``max_pool`` other rows of ``docs``."""
+def pool_sums(docs: DataFrame, models: list[View], known: list[int], confident: float) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each view as a pupil and each label its teacher gives: gradient sums and products of features.
+
+    Sums run over every row of ``docs`` but those of the ids ``known`` and of null ids, of which the
+    other view is ``confident``. The last feature is the constant 1, so the last product counts rows.
+    """
+    sizes = [len(m.w) + 1 for m in models]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [[np.zeros((d + 1, d)) for _ in (0, 1)] for d in sizes]
+        for part, texts in sliced(batches, "text"):
+            ids = part.column(0)
+            free = ~pc.or_(pc.is_null(ids), pc.is_in(ids, pa.array(known, ids.type))).to_numpy(zero_copy_only=False)
+            c = counts(texts)
+            views = (text_view(texts, c), metadata_view(part, texts, c))
+            for k in (0, 1):
+                z, pupil = models[1 - k].raw(views[1 - k]), models[k]
+                sure = np.log(confident / (1 - confident))
+                for label, rows in ((0, free & (z <= -sure)), (1, free & (z >= sure))):
+                    x = np.hstack([pupil.standard(views[k][rows]), np.ones((rows.sum(), 1))])
+                    gap = 1 / (1 + np.exp(-np.clip(x @ np.append(pupil.w, pupil.b), -30, 30))) - label
+                    total[k][label][0] += gap @ x
+                    total[k][label][1:] += x.T @ x
+        keys, sums = zip(*(((2 * k + label) * 10_000 + i, row.astype(np.float32).tobytes()) for k in (0, 1) for label in (0, 1) for i, row in enumerate(total[k][label])), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(sums, pa.binary())], ["key", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[key] = total.get(key, 0) + np.frombuffer(row, np.float32).astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["key", "sums"])
+
+    schema = "key int, sums binary"
+    rows = docs.select("doc_id", "text", *(c for c in ("source", "lang") if c in docs.columns)).mapInArrow(partial, schema).repartition("key").mapInArrow(add, schema).toPandas()
+    found = [[np.zeros((d + 1, d)) for _ in (0, 1)] for d in sizes]
+    for key, row in zip(rows["key"], rows["sums"], strict=True):
+        found[key // 20_000][key // 10_000 % 2][key % 10_000] = np.frombuffer(row, np.float32)
+    return [[(m[0], m[1:]) for m in pair] for pair in found]
+
+
+def co_train_all(docs: DataFrame, known: list[int], text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.95) -> CoTrained | None:
+    """Fit on labelled rows and, in each round, on every other row of ``docs``; None without rows of both labels.
+
+    The confident rows of a round weigh as much as the labelled ones, either label half. Their loss
+    is bounded by its gradient and the largest curvature a logistic loss has, so no step raises the bounded loss.
+    """
+    held = np.arange(len(label))[::4]
+    own = np.setdiff1d(np.arange(len(label)), held)
+    if not 0 < label[own].sum() < len(own):
+        return None
+    views, y = (text, meta), label[own].astype(float)
+    models = [fit_view(x[own], y) for x in views]
+    for _ in range(rounds):
+        sums = pool_sums(docs, models, known, confident)
+        after = []
+        for model, x, pair in zip(models, views, sums, strict=True):
+            share = [0.5 / max(products[-1, -1], 1) for _, products in pair]
+            gradient = sum(u * g for u, (g, _) in zip(share, pair, strict=True))
+            curvature = sum(0.25 * u * products for u, (_, products) in zip(share, pair, strict=True))
+            w, b = fit_logistic(model.standard(x[own]), y, balanced(y), pull=(np.append(model.w, model.b), gradient, curvature))
+            after.append(View(model.mean, model.spread, w, b))
+        models = after
+    return combined(models, views, label, held)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int | None = None) -> CoTrained | None:
+    """Co-train on at most ``max_labelled`` labelled rows of ``docs`` and all others, or ``max_pool`` unlabelled ones."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.min("quality").cast("int").alias("label"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     marked = ids.join(marks, F.col("doc_id") == F.col("labelled_id"), "left")
     order = (F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id"))
-    sample = marked.where("label IS NOT NULL").orderBy(*order).limit(max_labelled).unionByName(marked.where("label IS NULL").orderBy(*order).limit(max_pool)).select(F.col("doc_id").alias("sample_id"), F.coalesce("label", F.lit(-1)).alias("label"))
-    # At most max_labelled + max_pool rows of two numbers are broadcast.
+    sample = marked.where("label IS NOT NULL").orderBy(*order).limit(max_labelled)
+    if max_pool is not None:
+        sample = sample.unionByName(marked.where("label IS NULL").orderBy(*order).limit(max_pool))
+    sample = sample.select(F.col("doc_id").alias("sample_id"), F.coalesce("label", F.lit(-1)).alias("label"))
+    # At most max_labelled (+ max_pool) rows of two numbers are broadcast.
     present = [c for c in ("source", "lang") if c in docs.columns]
     rows = docs.select("doc_id", "text", *present).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("doc_id", "label", "text", *present)
-    pdf = featured(rows).orderBy(*order).limit(max_labelled + max_pool).toPandas()
+    pdf = featured(rows).orderBy(*order).limit(max_labelled + (max_pool or 0)).toPandas()
     if not len(pdf):
         return None
     text, meta = (np.stack([np.frombuffer(x, np.float32) for x in pdf[c]]) for c in ("text_view", "meta_view"))
-    return co_train(text, meta, pdf["label"].to_numpy())
+    label = pdf["label"].to_numpy()
+    return co_train_all(docs, sorted(set(pdf["doc_id"].tolist())), text, meta, label) if max_pool is None else co_train(text, meta, label)
 
 
 def scored(docs: DataFrame, model: CoTrained | None, columns: list[str], prefix: str = "") -> DataFrame:
@@ -188,7 +273,7 @@ def scored(docs: DataFrame, model: CoTrained | None, columns: list[str], prefix:
     return docs.select(needed).mapInArrow(add, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int | None = None) -> DataFrame:
     """Scores and verdict of every row of ``docs`` (``doc_id``, ``text``, if present ``source``, ``lang``).
 
     Returns doc_id, text_score, meta_score, score (probability of good quality) and kept
@@ -200,7 +285,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_lab
     return scored(docs, model, ["doc_id"]).withColumn("kept", F.col("score") >= threshold)
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int = 6000) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with all their columns."""
     model = fit(docs, labels, max_labelled, max_pool)
     own = free_prefix(docs, "__q_")

@@ -109,6 +109,28 @@ def test_co_training(frames, corpus):
     assert sum((r.meta_score >= 0.5) != junk[r.doc_id] for r in held) >= 0.8 * len(held)
 
 
+def test_every_unlabelled_row_takes_part(spark):
+    """Sums over the pool hold each confident row outside the labelled ones, once."""
+    rows = [(i, ("a b c " if i % 3 else "** || %% ") * (1 + i % 7), "s") for i in range(9000)] + [(None, "a b", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], LABELS)
+    pdf = quality_classifier.featured(docs.join(labels, "doc_id").selectExpr("doc_id", "quality label", "text", "source")).toPandas()
+    text, meta = (np.stack([np.frombuffer(x, np.float32) for x in pdf[c]]) for c in ("text_view", "meta_view"))
+    models = [quality_classifier.fit_view(x, pdf["label"].to_numpy(float)) for x in (text, meta)]
+    sums = quality_classifier.pool_sums(docs, models, list(range(300)), 0.95)
+    # The text view tells all rows apart and teaches the metadata view.
+    assert [round(products[-1, -1]) for _, products in sums[1]] == [2900, 5800]
+    model = quality_classifier.fit(docs, labels)
+    assert model is not None and len(model.text.w) == text.shape[1]
+
+
+def test_whole_pool_on_unseen_rows(frames, corpus):
+    docs, labels = frames
+    rows, junk = quality_classifier.classify(docs, labels, max_labelled=300).collect(), truth(corpus)
+    held = [r for r in rows if r.doc_id % 2]
+    assert len(rows) == 1500 and sum(r.kept == junk[r.doc_id] for r in held) <= 0.03 * len(held)
+
+
 def test_pseudo_labels_help():
     """With few labels, a view that has no signal in them learns from the other's confident ones."""
     rng = np.random.default_rng(1)
