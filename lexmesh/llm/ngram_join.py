@@ -6,15 +6,16 @@
 2. Shingles are ordered rarest first. By the prefix filter a set that links has a shared
    shingle in the first n - ceil(0.75 n) + 1; sets without one are done.
 3. In the index each list is cut into blocks by set size, with the bounds of the positions in
-   the sets. A probe skips whole blocks that sizes and positions rule out, and blocks that it
-   met at the token before.
+   the sets. A probe skips whole blocks that sizes and positions rule out.
 4. Set relations: in a few rounds every set is compared with one leader of its lists, and sets
-   that link become classes. Candidates within a class need no comparison. Between classes,
-   leaders are compared first, and a member's answer is derived from its leader's: Jaccard
-   distance is a metric, so where leaders are far apart their near members cannot link. Only
-   what is left is compared, so no link between classes is lost.
-
-Sets that are equal are one node throughout. Hashes have 64 bits (shingles) and 128 bits (sets).
+   that link become classes. Candidates within a class need no comparison. A set keeps its best
+   leader, the overlap with it, and the number of its shingles that the leader lacks. What a set
+   can share with a third one follows from its leader's answer for that one: the overlap of the
+   two leaders and those lacking shingles bound it. Only pairs of different classes that this
+   bound leaves open are compared, so no link between classes is lost.
+
+Sets that are equal are one node throughout. Hashes have 64 bits (shingles) and 128 bits (sets);
+whether two sets of one shingle differ is told by 64 bits of theirs.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.chunks import from_planes, planes
-from lexmesh.llm.shared import free_prefix, materialise, partitions, without
-from lexmesh.llm.textbytes import mixed, shingles, sliced
+from lexmesh.llm.shared import Scratch, free_prefix, materialise, partitions, without
+from lexmesh.llm.textbytes import SLICE_BYTES, mixed, shingles, sliced
 
 #: A shingle that so many sets of a chunk have is asked for once, beside a list of the sets.
 MANY = 32
 _MANY = 0xFFFF
+#: Bytes of text for each hash range.
+RANGE_BYTES = 8_000_000
 _FLOW = "range int, chunk long, kind int, a binary, b binary, c binary"
 _NAMES = ["range", "chunk", "kind", "a", "b", "c"]
 
@@ -59,7 +62,8 @@ def questions(k: int, ranges: int):
 
         part, number = TaskContext.get().partitionId(), 0
         cuts = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
-        for batch, texts in sliced(batches, "text"):
+        # With many ranges slices grow, so that a row keeps some hundred shingles.
+        for batch, texts in sliced(batches, "text", min(max(SLICE_BYTES, 600 * ranges), 8 * SLICE_BYTES)):
             sets = shingles(texts, k)
             chunk, number = (part << 32) + number, number + 1
             sig = signatures(sets)
@@ -84,9 +88,11 @@ def questions(k: int, ranges: int):
                     keep[first] = True
                     owner = np.where(heavy, _MANY, owner)
                     hashes, owner = hashes[keep], owner[keep]
-                tags = (sig[:, 0] >> np.uint64(32)).astype("<u4").tobytes()
                 edges = [*np.searchsorted(hashes, cuts).tolist(), len(hashes)]
-                rows += [(i, chunk, 0, planes(hashes[x:y]), owner[x:y].astype("<u2").tobytes(), tags) for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+                for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if x < y:
+                        own = np.unique(owner[x:y])
+                        rows.append((i, chunk, 0, planes(hashes[x:y]), owner[x:y].astype("<u2").tobytes(), sig[own[own != _MANY], 0].astype("<u8").tobytes()))
             yield batch_of(rows)
 
     return run
@@ -105,15 +111,15 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ranges.pop(key)
         hashes = [from_planes(r[3]) for r in rows]
         owners = [np.frombuffer(r[4], "<u2") for r in rows]
-        tags = np.concatenate([np.frombuffer(r[5], "<u4")[np.where(o == _MANY, 0, o)].astype(np.int64) + np.where(o == _MANY, 1 << 33, 0) for r, o in zip(rows, owners, strict=True)])
+        tag, many = np.concatenate([tags_of(o, np.frombuffer(r[5], "<u8")) for r, o in zip(rows, owners, strict=True)]), np.concatenate(owners) == _MANY
         joined = np.concatenate(hashes)
         order = np.argsort(joined, kind="stable")
-        ordered, tag = joined[order], tags[order]
+        ordered, tag, many = joined[order], tag[order], many[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         size = np.diff(np.append(first, len(ordered)))
-        shared = (np.maximum.reduceat(tag, first) != np.minimum.reduceat(tag, first)) | (tag[first] >= 1 << 33)
         # A list of a chunk counts as MANY; equal sets of other chunks count again, which moves only the order.
-        weight = np.add.reduceat(np.where(tag >= 1 << 33, MANY, 1), first)
+        weight = np.add.reduceat(np.where(many, MANY, 1), first)
+        shared = np.logical_or.reduceat(many, first) | (np.maximum.reduceat(tag, first) != np.minimum.reduceat(tag, first))
         total = np.empty(len(joined), np.int64)
         total[order] = np.repeat(np.where(shared, np.maximum(weight, 2), 0), size)
         at = 0
@@ -125,6 +131,14 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of([(key, row[1], 0, planes(own[keep]), owner[keep].tobytes(), np.minimum(mine[keep], (1 << 32) - 1).astype("<u4").tobytes())])
 
 
+def tags_of(owners: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The tag of each owner: ``tags`` are those of the distinct owners in order; 0 for lists."""
+    if not len(tags):
+        return np.zeros(len(owners), np.uint64)
+    own = np.unique(owners)
+    return tags[np.minimum(np.searchsorted(own, owners), len(tags) - 1)]
+
+
 def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
@@ -192,7 +206,7 @@ def may_link(n: Column, pos: Column, rest: Column, m: Column, other_pos: Column,
 
 
 def overlaps(pairs: DataFrame, core: DataFrame) -> DataFrame:
-    """Exact similarity of pairs (a, b) of nodes: a, b, overlap, na, nb, linked, distance."""
+    """Exact answers of pairs (a, b) of nodes: a, b, overlap, na, nb, linked."""
     a, b = (core.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("core").alias("core_" + x)) for x in "ab")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,24 +219,28 @@ def overlaps(pairs: DataFrame, core: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.int64())], ["a", "b", "na", "nb", "overlap"])
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "core_a", "core_b").mapInArrow(count, "a binary, b binary, na long, nb long, overlap long")
-    return joined.withColumn("linked", 7 * F.col("overlap") >= 3 * (F.col("na") + F.col("nb"))).withColumn("distance", 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
+    return joined.withColumn("linked", 7 * F.col("overlap") >= 3 * (F.col("na") + F.col("nb")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Scratch) -> DataFrame:
     """(node, label): the least node that links (a, b) reach, for each node that has a link.
 
     Each round takes the least label of the neighbours and then the label's own label, so
-    chains shorten by half; every round is a written table.
+    chains shorten by half; every round is a written table, which takes the place of the one before.
     """
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = tables.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = tables.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        after = materialise(lower.join(jump, "to").select("node", "was", F.least("to", "further").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where("was != label").isEmpty():
+        # Only labels that stand for themselves no more change anything.
+        jump = labels.where("label != node").select(F.col("node").alias("to"), F.col("label").alias("further"))
+        after = lower.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("label"), (F.least("to", F.coalesce("further", "to")) != F.col("was")).alias("moved"))
+        after = tables.write(after, "labels")
+        tables.drop(labels)
+        labels = after
+        if labels.where("moved").isEmpty():
+            tables.drop(both)
             return labels
 
 
@@ -231,33 +249,7 @@ def size_class() -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9)
 
 
-def list_blocks(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Blocks of the lists: entries of one size class and the given columns, with the bounds of sizes and places.
-
-    ``prev`` is one of the keys: two blocks whose entries had the same token before met there already.
-    """
-    keyed = entries.withColumn("size_class", size_class())
-    return keyed.groupBy("token", "size_class", "prev", *by).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max("rest").alias("rest"))
-
-
-def probes(blocks: DataFrame, columns: list[str]) -> DataFrame:
-    """Blocks as probes: each reads the blocks of its own size class and of the next."""
-    twice = blocks.withColumn("p_class", F.col("size_class")).withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
-    return twice.select("token", "size_class", "p_class", *(F.col(c).alias("p_" + c) for c in ("prev", "low_n", "high_n", "high_pos", "rest", *columns)))
-
-
-def block_may_link() -> Column:
-    """A block and a probing block may hold sets that link, and did not meet at the token before."""
-    most = F.least("high_pos", "p_high_pos") + 1 + F.least("rest", "p_rest")
-    sizes = (4 * F.col("high_n") >= 3 * F.col("p_low_n")) & (4 * F.col("p_high_n") >= 3 * F.col("low_n"))
-    return (7 * most >= 3 * (F.col("low_n") + F.col("p_low_n"))) & sizes & ~F.coalesce(F.col("prev") == F.col("p_prev"), F.lit(False))
-
-
-def in_order(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(c for c in pairs.columns if c not in ("a", "b")))
-
-
-def led_round(entries: DataFrame, state: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+def led_round(entries: DataFrame, state: DataFrame, core: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """One leader for each list, and the comparison of each set with the first leader of its lists.
 
     The leader is the list's first free set with the smallest share of shingles of its own; a set is
@@ -269,73 +261,143 @@ def led_round(entries: DataFrame, state: DataFrame, core: DataFrame) -> tuple[Da
     lists = e.groupBy("token").agg(F.min(F.when(F.col("free"), key)).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND lead IS NOT NULL").select("token", "lead.*")
     near = e.join(lists.withColumnRenamed("rank", "leader_rank"), "token").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("leader_n"), F.col("leader_pos"), F.col("leader_rest")))
     chosen = near.groupBy("node").agg(F.min(F.struct("leader_rank", "leader")).alias("first")).select(F.col("first.leader").alias("a"), F.col("node").alias("b"))
-    return materialise(overlaps(chosen, core), "met"), lists.select("leader").distinct()
+    return tables.write(overlaps(chosen, core), "met"), lists.select("leader").distinct()
 
 
-def linked_nodes(core: DataFrame, rounds: int = 2) -> DataFrame:
+def linked_nodes(core: DataFrame, tables: Scratch, rounds: int = 3) -> DataFrame:
     """(node, label) of all nodes of ``core`` that link with another."""
     spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long, rest long, prev long")
-    spread = materialise(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
+    spread = tables.write(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
     lists = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-    entries = materialise(spread.join(lists, "token"), "lists")
-    # Each set's class as far as known, its leader, how far that is, and whether it may still lead.
-    state = core.select("node", F.col("node").alias("label"), F.col("node").alias("leader"), F.lit(0.0).alias("off"), F.lit(True).alias("free"))
-    met = None
+    entries = tables.write(spread.join(lists, "token"), "lists")
+    tables.drop(spread)
+    sizes = core.select("node", "n", (F.octet_length("core") / 8).cast("long").alias("size"))
+    # Each set's class as far as known, and whether it may still lead.
+    state = sizes.select("node", F.col("node").alias("label"), F.lit(True).alias("free"))
+    met = core.sparkSession.createDataFrame([], "a binary, b binary, na long, nb long, overlap long, linked boolean")
     for _ in range(rounds):
-        now, leaders = led_round(entries, state, core)
+        now, leaders = led_round(entries, state, core, tables)
         if now.isEmpty():
             break
-        met = now if met is None else met.unionByName(now)
-        led = now.where("linked").select(F.col("b").alias("node"), F.col("a").alias("by"), "distance")
+        met = met.unionByName(now)
+        led = now.where("linked").select(F.col("b").alias("node"), F.col("a").alias("by"))
         used = leaders.select(F.col("leader").alias("node"), F.lit(True).alias("used"))
         after = state.join(led, "node", "left").join(used, "node", "left")
-        # A set that leads itself and no other takes the leader that it links with.
-        takes = F.col("by").isNotNull() & F.col("free") & F.col("used").isNull()
-        state = materialise(
-            after.select("node", F.coalesce("by", "label").alias("label"), F.when(takes, F.col("by")).otherwise(F.col("leader")).alias("leader"), F.when(takes, F.col("distance")).otherwise(F.col("off")).alias("off"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")),
-            "state",
-        )
-    if met is None:
-        return core.select("node", F.col("node").alias("label")).limit(0)
-    labels = components(met.where("linked").select("a", "b"))
-    state = materialise(state.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "state")
-    more = links_between(entries, state, in_order(met.select("a", "b", "distance")), core)
+        state = tables.write(after.select("node", F.coalesce("by", "label").alias("label"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")), "state")
+    met = tables.write(met, "met")
+    labels = components(met.where("linked"), tables)
+    # The leader that shares most with a set; sets that lead others they link with lead themselves.
+    heads = met.where("linked").select(F.col("a").alias("node")).distinct()
+    best = met.groupBy(F.col("b").alias("node")).agg(F.max_by(F.struct(F.col("a").alias("leader"), "overlap"), F.struct("overlap", "a")).alias("best"))
+    state = sizes.join(labels.select("node", "label"), "node", "left").join(best.join(heads, "node", "left_anti"), "node", "left")
+    state = state.select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("best.leader", "node").alias("leader"), F.coalesce("best.overlap", "size").alias("common"), (F.col("size") - F.coalesce("best.overlap", "size")).alias("extra"))
+    own = state.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    state = tables.write(state.join(own, "leader").withColumn("inner", F.col("label") == F.col("leader_label")).drop("leader_label"), "state")
+    more = links_between(entries, state, in_order(met.select("a", "b", "overlap")), core, tables)
     if more.isEmpty():
-        return labels
+        return labels.select("node", "label")
     # Further links join classes: their labels are the nodes of a second, small graph.
-    of = state.select("node", "label")
-    joined = components(more.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    renamed = of.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
-    return renamed.select("node", F.coalesce("final", "label").alias("label"))
+    return state.join(merged(more, tables), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+
+
+def merged(links: DataFrame, tables: Scratch) -> DataFrame:
+    """(label, final) of the labels that links (la, lb) between classes join."""
+    return components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), tables).select(F.col("node").alias("label"), F.col("label").alias("final"))
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(c for c in pairs.columns if c not in ("a", "b")))
+
+
+def list_blocks(entries: DataFrame) -> DataFrame:
+    """Blocks of the lists: the entries of one size class and one leader, those of its class (inner) apart from others.
+
+    With the bounds of sizes, places and of what the sets share with their leader and have beside it.
+    """
+    return entries.groupBy("token", "size_class", "leader", "inner").agg(
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max("rest").alias("high_rest"),
+        F.max("common").alias("high_common"), F.max("extra").alias("high_extra"), F.min("label").alias("low"), F.max("label").alias("high"),
+    )
+
+
+def enough(most: Column, n: Column, m: Column) -> Column:
+    """Sets of n and m shingles that share ``most`` may link."""
+    return 7 * most >= 3 * (n + m)
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs of blocks of one list that may hold sets of different classes that link.
+
+    Each probing block (p\\_) reads the blocks of its own size class and of the next. Sets of one
+    leader share no more than the fewer have in common with it, and the fewer beside it.
+    """
+    columns = [c for c in blocks.columns if c not in ("token", "size_class")]
+    twice = blocks.withColumn("p_class", F.col("size_class")).withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
+    probes = twice.select("token", "size_class", "p_class", *(F.col(c).alias("p_" + c) for c in columns))
+    once = (F.col("p_class") < F.col("size_class")) | (F.struct("p_leader", "p_inner") <= F.struct("leader", "inner"))
+    differ = ~((F.col("low") == F.col("high")) & (F.col("p_low") == F.col("p_high")) & (F.col("low") == F.col("p_low")))
+    places = F.least("high_pos", "p_high_pos") + 1 + F.least("high_rest", "p_high_rest")
+    sizes = (4 * F.col("high_n") >= 3 * F.col("p_low_n")) & (4 * F.col("p_high_n") >= 3 * F.col("low_n"))
+    relation = (F.col("leader") != F.col("p_leader")) | enough(F.least("high_common", "p_high_common") + F.least("high_extra", "p_high_extra"), F.col("low_n"), F.col("p_low_n"))
+    met = blocks.join(probes, ["token", "size_class"]).where(once & differ & sizes & enough(places, F.col("low_n"), F.col("p_low_n")) & relation)
+    return met.select("token", "size_class", "p_class", "leader", "inner", "p_leader", "p_inner")
 
 
-def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of ``state``: all that its leaders' answers do not rule out."""
-    e = entries.join(state.select("node", "label", "leader", "off"), "node")
+def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: DataFrame, tables: Scratch) -> DataFrame:
+    """Links between classes of ``state``, as pairs (la, lb) of their labels: all that the leaders' answers do not rule out."""
+    e = entries.drop("rank", "n").join(state, "node").withColumn("size_class", size_class())
     several = e.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    e = materialise(e.join(several, "token").drop("rank"), "between")
-    place = ["token", "size_class"]
-    led_blocks = list_blocks(e, ["leader", "label"])
-    led = led_blocks.join(probes(led_blocks, ["leader", "label"]), place).where((F.col("label") != F.col("p_label")) & ((F.col("p_class") < F.col("size_class")) | (F.col("p_leader") < F.col("leader"))) & block_may_link())
-    led = led.select(F.least("p_leader", "leader").alias("a"), F.greatest("p_leader", "leader").alias("b")).distinct()
-    known = met.groupBy("a", "b").agg(F.min("distance").alias("gap"))
-    led = materialise(led.join(known, ["a", "b"], "left"), "led")
-    fresh = overlaps(led.where("gap IS NULL").select("a", "b"), core).select("a", "b", F.col("distance").alias("gap"))
-    led = materialise(led.where("gap IS NOT NULL").unionByName(fresh), "led")
-    radius = state.groupBy("leader").agg(F.max("off").alias("radius"))
-    wide = led.join(radius.select(F.col("leader").alias("a"), F.col("radius").alias("ra")), "a", "left").join(radius.select(F.col("leader").alias("b"), F.col("radius").alias("rb")), "b", "left")
-    # Leaders that lead nobody and were compared themselves need no more; others are opened if near enough.
-    reach = F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
-    wide = wide.where((reach > 0) & (F.col("gap") - reach <= 0.25 + 1e-9)).select("a", "b", "gap")
-    near = led.where("gap <= 0.25").select("a", "b")
-    if wide.isEmpty():
-        return near
-    own = list_blocks(e, ["node", "leader", "off"])
-    either = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
-    opened = probes(own, ["node", "leader", "off"]).join(either.select(F.col("a").alias("p_leader"), F.col("b").alias("leader"), "gap"), "p_leader")
-    pairs = opened.join(own, [*place, "leader"]).where(((F.col("p_class") < F.col("size_class")) | (F.col("p_node") < F.col("node"))) & (F.col("gap") - F.col("off") - F.col("p_off") <= 0.25 + 1e-9) & block_may_link())
-    pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti")
-    return materialise(near.unionByName(overlaps(pairs, core).where("linked").select("a", "b")), "more")
+    e = tables.write(e.join(several, "token"), "between")
+    blocks = tables.write(block_pairs(list_blocks(e)), "blocks")
+    ends = blocks.where("leader != p_leader").select(F.least("p_leader", "leader").alias("a"), F.greatest("p_leader", "leader").alias("b")).distinct()
+    answers = ends.join(met.groupBy("a", "b").agg(F.max("overlap").alias("overlap")), ["a", "b"], "left")
+    answers = tables.write(answers, "answers")
+    fresh = tables.write(overlaps(answers.where("overlap IS NULL").select("a", "b"), core), "fresh")
+    # Leaders that link join their classes, which need not be opened for one another any more.
+    of = state.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    labelled = fresh.where("linked").join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").where("la != lb").select("la", "lb")
+    found = tables.write(labelled, "links")
+    known = answers.where("overlap IS NOT NULL").unionByName(fresh.select("a", "b", "overlap"))
+    if not found.isEmpty():
+        e = e.join(merged(found, tables), "label", "left").withColumn("label", F.coalesce("final", "label")).drop("final")
+        e = tables.write(e, "between")
+        state = state.join(merged(found, tables), "label", "left").withColumn("label", F.coalesce("final", "label")).drop("final")
+    opened = opened_blocks(blocks, state, known)
+    pairs = tables.write(set_pairs(e, opened, in_order(met)), "pairs")
+    more = overlaps(pairs, core).where("linked").join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select("la", "lb")
+    return tables.write(found.unionByName(more), "more")
+
+
+def opened_blocks(blocks: DataFrame, state: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs of blocks that the groups' bounds leave open; the probing one (p\\_) is that of fewer sets."""
+    groups = state.groupBy("leader", "inner").agg(F.min("n").alias("low_n"), F.max("extra").alias("high_extra"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets"))
+    p_groups = groups.select(*(F.col(c).alias("p_" + c) for c in groups.columns))
+    ends = blocks.select("leader", "inner", "p_leader", "p_inner").distinct()
+    ends = ends.withColumn("a", F.least("p_leader", "leader")).withColumn("b", F.greatest("p_leader", "leader")).join(known, ["a", "b"], "left").drop("a", "b")
+    ends = ends.join(groups, ["leader", "inner"]).join(p_groups, ["p_leader", "p_inner"])
+    differ = ~((F.col("low") == F.col("high")) & (F.col("p_low") == F.col("p_high")) & (F.col("low") == F.col("p_low")))
+    ends = ends.where(differ & ((F.col("leader") == F.col("p_leader")) | enough(F.col("overlap") + F.col("high_extra") + F.col("p_high_extra"), F.col("low_n"), F.col("p_low_n"))))
+    found = blocks.join(ends, ["leader", "inner", "p_leader", "p_inner"])
+    turn = F.col("p_sets") > F.col("sets")
+    pairs = [("size_class", "p_class"), *((c, "p_" + c) for c in ("leader", "inner", "low_n", "high_extra"))]
+    turned = [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in pairs] + [F.when(turn, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in pairs]
+    return found.select("token", "overlap", *turned)
+
+
+def set_pairs(e: DataFrame, opened: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different classes in opened blocks that may link, but for those in ``met``."""
+    p = e.select("token", *(F.col(c).alias("p_" + c) for c in ("node", "n", "pos", "rest", "prev", "label", "leader", "inner", "common", "extra")), F.col("size_class").alias("p_class"))
+    same = F.col("leader") == F.col("p_leader")
+    # Probing sets that may link with none of the other group go no further.
+    group_n = F.greatest("low_n", F.ceil(F.col("p_n") * 3 / 4))
+    most = F.when(same, F.col("p_common") + F.least("p_extra", "high_extra")).otherwise(F.col("overlap") + F.col("p_extra") + F.col("high_extra"))
+    probes = opened.drop("p_low_n", "p_high_extra").join(p, ["token", "p_class", "p_leader", "p_inner"]).where(enough(most, F.col("p_n"), group_n))
+    probes = probes.select("token", "size_class", "leader", "inner", "overlap", *(c for c in p.columns if c not in ("token", "p_class", "p_inner")))
+    bound = F.when(same, F.least("common", "p_common") + F.least("extra", "p_extra")).otherwise(F.col("overlap") + F.col("extra") + F.col("p_extra"))
+    apart = (F.col("label") != F.col("p_label")) & ~F.coalesce(F.col("prev") == F.col("p_prev"), F.lit(False))
+    open_ = apart & enough(bound, F.col("n"), F.col("p_n")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("p_n"), F.col("p_pos"), F.col("p_rest"))
+    pairs = probes.join(e, ["token", "size_class", "leader", "inner"]).where(open_)
+    return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
 
 
 def classes(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -347,15 +409,21 @@ def classes(docs: DataFrame, k: int = 5) -> DataFrame:
     like any other; a null id is kept but is never a class's smallest; other columns are ignored; an
     empty table gives an empty result.
     """
-    ranges = 2 * partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    tables = Scratch(spark)
+    # Ranges follow the size of the texts, so that no task grows with them.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(2 * partitions(spark), -(-size // RANGE_BYTES))
     asked = docs.select("doc_id", "text").mapInArrow(questions(k, ranges), _FLOW)
-    flow = materialise(asked.repartition(partitions(docs.sparkSession), "range").mapInArrow(answers, _FLOW), "shared")
+    flow = tables.write(asked.repartition(max(partitions(spark), ranges // 4), "range").mapInArrow(answers, _FLOW), "shared")
     core = flow.groupBy("chunk").applyInArrow(cores, "node binary, n long, single long, core binary")
-    core = materialise(core.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "single", "core"))), "cores")
-    labels = linked_nodes(core)
+    core = tables.write(core.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "single", "core"))), "cores")
     rows = materialise(flow.where("kind = 2").select("a", "b", "c").mapInArrow(unpacked, "doc_id long, n_shingles long, node binary"), "rows")
+    tables.drop(flow)
+    labels = linked_nodes(core, tables)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    joined = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = materialise(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    tables.clear()
     of_label = joined.groupBy("label").agg(F.min("least").alias("component"))
     of_node = joined.join(of_label, "label").select(F.col("node").alias("r_node"), "component")
     return rows.join(of_node, (F.col("node") == F.col("r_node")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``, or the context's own; a temporary one on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmesh-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -28,9 +31,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/lexmesh/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Intermediate tables of one job, to be removed once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def clear(self) -> None:
+        self.drop(*(table for table, _ in list(self.paths.values())))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are worked on in slices of about this many bytes (a longer text is one slice).
-SLICE_BYTES = 2_000_000
+#: Texts are worked on in slices of about this many bytes (a longer text is one slice), and so many rows at most.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 60_000
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -134,15 +134,15 @@ def shingles(texts: Texts, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Parts of the batches with about SLICE_BYTES of text, and their texts."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Parts of the batches with about ``size`` bytes of text and SLICE_ROWS rows at most, and their texts."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
             done = sizes[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+            end = max(begin + 1, min(begin + SLICE_ROWS, int(np.searchsorted(sizes, done + size, "right"))))
             part = batch.slice(begin, end - begin)
             yield part, Texts(part.column(at))
             begin = end

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -54,8 +55,6 @@ def test_join(docs, small, empty):
 @pytest.mark.parametrize("seed", range(3))
 def test_join_of_families(spark, seed):
     """Families of edited copies around the threshold, shared passages, and exact copies."""
-    import random
-
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(40)]
     rows = []
@@ -80,6 +79,64 @@ def test_widespread_shingles_are_asked_for_once(spark):
     assert Counter(map(tuple, ngram_join.classes(df).collect())) == components(rows)
 
 
+def test_one_family_of_near_copies(spark):
+    """Thousands of copies of one text, each with its own edits; some of them link with none or only with one another."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(3000):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 5, 6, 7])):
+            own[at] = rng.choice(["x", "y", f"e{i}_{at}", f"e{i}_{at}"])
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert Counter(map(tuple, ngram_join.classes(df).collect())) == components_by_candidates(rows)
+
+
+def components_by_candidates(rows):
+    """As ``components``, by a count of the shingles that each set shares with those before it."""
+    sets, lists = [(i, shingle_set(t)) for i, t in rows], defaultdict(list)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, (_, own) in enumerate(sets):
+        shared = Counter()
+        for s in own:
+            shared.update(lists[s])
+            lists[s].append(x)
+        for y, both in shared.items():
+            if 100 * both >= 75 * (len(own) + len(sets[y][1]) - both):
+                parent[find(x)] = find(y)
+    least = defaultdict(lambda: 1 << 60)
+    for x, (i, _) in enumerate(sets):
+        least[find(x)] = min(least[find(x)], i)
+    return Counter((i, len(s), least[find(x)]) for x, (i, s) in enumerate(sets))
+
+
+def test_slices_have_a_bound_of_rows(spark):
+    """More short rows in an Arrow batch than 16-bit numbers count."""
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        df = spark.range(66_005).selectExpr("id AS doc_id", "concat('t', id % 33000) AS text").coalesce(1)
+        rows = ngram_join.classes(df).selectExpr("max(doc_id)", "sum(n_shingles)", "count_if(component_id = doc_id % 33000)").first()
+        assert tuple(rows) == (66_004, 66_005, 66_005)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+
+
+def test_a_long_compilation_leads_no_list_astray(spark):
+    """The set with the fewest shingles of its own leads all lists of two near copies, and links with neither."""
+    base = [f"b{i}" for i in range(60)]
+    near = [*base[:30], "other", *base[31:]]
+    rows = [(1, " ".join([*base, "u1"])), (2, " ".join([*near, "u2"])), (3, " ".join([*base, *near, *(f"c{i}" for i in range(300))])), (4, " ".join(f"c{i}" for i in range(300)))]
+    assert Counter(map(tuple, ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == components(rows)
+
+
 @pytest.fixture(scope="module")
 def ids(small):
     own = Tokenizer.from_file(PATH)
