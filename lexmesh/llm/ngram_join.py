@@ -35,7 +35,7 @@ from lexmesh.llm.textbytes import SLICE_BYTES, mixed, shingles, sliced
 MANY = 32
 _MANY = 0xFFFF
 #: Bytes of text for each hash range.
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 16_000_000
 _FLOW = "range int, chunk long, kind int, a binary, b binary, c binary"
 _NAMES = ["range", "chunk", "kind", "a", "b", "c"]
 
@@ -205,8 +205,12 @@ def may_link(n: Column, pos: Column, rest: Column, m: Column, other_pos: Column,
     return (7 * most >= 3 * (n + m)) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
 
 
-def overlaps(pairs: DataFrame, core: DataFrame) -> DataFrame:
-    """Exact answers of pairs (a, b) of nodes: a, b, overlap, na, nb, linked."""
+def overlaps(pairs: DataFrame, core: DataFrame, tables: Scratch, few: int = 500_000) -> DataFrame:
+    """Exact answers of pairs (a, b) of nodes: a, b, overlap, na, nb, linked.
+
+    Up to ``few`` pairs (of 32 bytes each) are counted and then broadcast to the sets, of which only those
+    of a pair are shuffled; more pairs are joined by shuffles.
+    """
     a, b = (core.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("core").alias("core_" + x)) for x in "ab")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,13 @@ def overlaps(pairs: DataFrame, core: DataFrame) -> DataFrame:
                 found.append(int(np.count_nonzero(both[1:] == both[:-1])))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.int64())], ["a", "b", "na", "nb", "overlap"])
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "core_a", "core_b").mapInArrow(count, "a binary, b binary, na long, nb long, overlap long")
+    pairs = tables.write(pairs, "asked")
+    if pairs.count() <= few:
+        asked = F.broadcast(pairs)
+        both = a.join(asked, "a").join(b.join(asked, "b"), ["a", "b"])
+    else:
+        both = pairs.join(a, "a").join(b, "b")
+    joined = both.select("a", "b", "na", "nb", "core_a", "core_b").mapInArrow(count, "a binary, b binary, na long, nb long, overlap long")
     return joined.withColumn("linked", 7 * F.col("overlap") >= 3 * (F.col("na") + F.col("nb")))
 
 
@@ -249,41 +259,43 @@ def size_class() -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9)
 
 
-def led_round(entries: DataFrame, state: DataFrame, core: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+def led_round(entries: DataFrame, core: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """One leader for each list, and the comparison of each set with the first leader of its lists.
 
     The leader is the list's first free set with the smallest share of shingles of its own; a set is
     compared with one leader of another class, so a round makes one pair for each set at most.
-    Returns the pairs (a: the leader) and the leaders.
+    Returns the entries of those lists that hold several classes, with the leader, and the pairs (a: the leader).
     """
-    e = entries.join(state.select("node", "label", "free"), "node")
     key = F.struct("rank", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("rest").alias("leader_rest"), F.col("label").alias("leader_label"))
-    lists = e.groupBy("token").agg(F.min(F.when(F.col("free"), key)).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND lead IS NOT NULL").select("token", "lead.*")
-    near = e.join(lists.withColumnRenamed("rank", "leader_rank"), "token").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("leader_n"), F.col("leader_pos"), F.col("leader_rest")))
-    chosen = near.groupBy("node").agg(F.min(F.struct("leader_rank", "leader")).alias("first")).select(F.col("first.leader").alias("a"), F.col("node").alias("b"))
-    return tables.write(overlaps(chosen, core), "met"), lists.select("leader").distinct()
+    lists = entries.groupBy("token").agg(F.min(F.when(F.col("free"), key)).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token", "lead")
+    mixed = tables.write(entries.join(lists, "token"), "mixed")
+    near = mixed.select("node", "n", "pos", "rest", "label", "lead.*").where((F.col("label") != F.col("leader_label")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("leader_n"), F.col("leader_pos"), F.col("leader_rest")))
+    chosen = near.groupBy("node").agg(F.min(F.struct("rank", "leader")).alias("first")).select(F.col("first.leader").alias("a"), F.col("node").alias("b"))
+    return mixed, tables.write(overlaps(chosen, core, tables), "met")
 
 
 def linked_nodes(core: DataFrame, tables: Scratch, rounds: int = 3) -> DataFrame:
     """(node, label) of all nodes of ``core`` that link with another."""
     spread = core.mapInArrow(prefixes, "token long, node binary, n long, single long, pos long, rest long, prev long")
-    spread = tables.write(spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single"), "entries")
-    lists = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-    entries = tables.write(spread.join(lists, "token"), "lists")
-    tables.drop(spread)
     sizes = core.select("node", "n", (F.octet_length("core") / 8).cast("long").alias("size"))
     # Each set's class as far as known, and whether it may still lead.
     state = sizes.select("node", F.col("node").alias("label"), F.lit(True).alias("free"))
+    entries = spread.withColumn("rank", (F.col("single") * 1000 / F.col("n")).cast("int")).drop("single").withColumn("label", F.col("node")).withColumn("free", F.lit(True))
+    entries = tables.write(entries, "entries")
     met = core.sparkSession.createDataFrame([], "a binary, b binary, na long, nb long, overlap long, linked boolean")
     for _ in range(rounds):
-        now, leaders = led_round(entries, state, core, tables)
+        mixed, now = led_round(entries, core, tables)
+        tables.drop(entries)
+        entries = mixed.drop("lead")
         if now.isEmpty():
             break
         met = met.unionByName(now)
         led = now.where("linked").select(F.col("b").alias("node"), F.col("a").alias("by"))
-        used = leaders.select(F.col("leader").alias("node"), F.lit(True).alias("used"))
+        used = mixed.select(F.col("lead.leader").alias("node")).where("node IS NOT NULL").distinct().withColumn("used", F.lit(True))
         after = state.join(led, "node", "left").join(used, "node", "left")
         state = tables.write(after.select("node", F.coalesce("by", "label").alias("label"), (F.col("free") & F.col("by").isNull() & F.col("used").isNull()).alias("free")), "state")
+        entries = tables.write(entries.drop("label", "free").join(state, "node"), "entries")
+        tables.drop(mixed)
     met = tables.write(met, "met")
     labels = components(met.where("linked"), tables)
     # The leader that shares most with a set; sets that lead others they link with lead themselves.
@@ -315,7 +327,7 @@ def list_blocks(entries: DataFrame) -> DataFrame:
     With the bounds of sizes, places and of what the sets share with their leader and have beside it.
     """
     return entries.groupBy("token", "size_class", "leader", "inner").agg(
-        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("pos").alias("high_pos"), F.max("rest").alias("high_rest"),
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("rest").alias("high_rest"),
         F.max("common").alias("high_common"), F.max("extra").alias("high_extra"), F.min("label").alias("low"), F.max("label").alias("high"),
     )
 
@@ -336,7 +348,8 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     probes = twice.select("token", "size_class", "p_class", *(F.col(c).alias("p_" + c) for c in columns))
     once = (F.col("p_class") < F.col("size_class")) | (F.struct("p_leader", "p_inner") <= F.struct("leader", "inner"))
     differ = ~((F.col("low") == F.col("high")) & (F.col("p_low") == F.col("p_high")) & (F.col("low") == F.col("p_low")))
-    places = F.least("high_pos", "p_high_pos") + 1 + F.least("high_rest", "p_high_rest")
+    # The first token that two sets share leaves them those after it, so they meet there or may not link.
+    places = 1 + F.least("high_rest", "p_high_rest")
     sizes = (4 * F.col("high_n") >= 3 * F.col("p_low_n")) & (4 * F.col("p_high_n") >= 3 * F.col("low_n"))
     relation = (F.col("leader") != F.col("p_leader")) | enough(F.least("high_common", "p_high_common") + F.least("high_extra", "p_high_extra"), F.col("low_n"), F.col("p_low_n"))
     met = blocks.join(probes, ["token", "size_class"]).where(once & differ & sizes & enough(places, F.col("low_n"), F.col("p_low_n")) & relation)
@@ -345,14 +358,14 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
 
 def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: DataFrame, tables: Scratch) -> DataFrame:
     """Links between classes of ``state``, as pairs (la, lb) of their labels: all that the leaders' answers do not rule out."""
-    e = entries.drop("rank", "n").join(state, "node").withColumn("size_class", size_class())
+    e = entries.drop("rank", "n", "label", "free").join(state, "node").withColumn("size_class", size_class())
     several = e.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     e = tables.write(e.join(several, "token"), "between")
     blocks = tables.write(block_pairs(list_blocks(e)), "blocks")
     ends = blocks.where("leader != p_leader").select(F.least("p_leader", "leader").alias("a"), F.greatest("p_leader", "leader").alias("b")).distinct()
     answers = ends.join(met.groupBy("a", "b").agg(F.max("overlap").alias("overlap")), ["a", "b"], "left")
     answers = tables.write(answers, "answers")
-    fresh = tables.write(overlaps(answers.where("overlap IS NULL").select("a", "b"), core), "fresh")
+    fresh = tables.write(overlaps(answers.where("overlap IS NULL").select("a", "b"), core, tables), "fresh")
     # Leaders that link join their classes, which need not be opened for one another any more.
     of = state.select(F.col("node").alias("a"), F.col("label").alias("la"))
     labelled = fresh.where("linked").join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").where("la != lb").select("la", "lb")
@@ -363,8 +376,7 @@ def links_between(entries: DataFrame, state: DataFrame, met: DataFrame, core: Da
         e = tables.write(e, "between")
         state = state.join(merged(found, tables), "label", "left").withColumn("label", F.coalesce("final", "label")).drop("final")
     opened = opened_blocks(blocks, state, known)
-    pairs = tables.write(set_pairs(e, opened, in_order(met)), "pairs")
-    more = overlaps(pairs, core).where("linked").join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select("la", "lb")
+    more = overlaps(set_pairs(e, opened, in_order(met)), core, tables).where("linked").join(of, "a").join(of.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select("la", "lb")
     return tables.write(found.unionByName(more), "more")
 
 
@@ -386,7 +398,7 @@ def opened_blocks(blocks: DataFrame, state: DataFrame, known: DataFrame) -> Data
 
 def set_pairs(e: DataFrame, opened: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of different classes in opened blocks that may link, but for those in ``met``."""
-    p = e.select("token", *(F.col(c).alias("p_" + c) for c in ("node", "n", "pos", "rest", "prev", "label", "leader", "inner", "common", "extra")), F.col("size_class").alias("p_class"))
+    p = e.select("token", *(F.col(c).alias("p_" + c) for c in ("node", "n", "rest", "prev", "label", "leader", "inner", "common", "extra")), F.col("size_class").alias("p_class"))
     same = F.col("leader") == F.col("p_leader")
     # Probing sets that may link with none of the other group go no further.
     group_n = F.greatest("low_n", F.ceil(F.col("p_n") * 3 / 4))
@@ -395,7 +407,8 @@ def set_pairs(e: DataFrame, opened: DataFrame, met: DataFrame) -> DataFrame:
     probes = probes.select("token", "size_class", "leader", "inner", "overlap", *(c for c in p.columns if c not in ("token", "p_class", "p_inner")))
     bound = F.when(same, F.least("common", "p_common") + F.least("extra", "p_extra")).otherwise(F.col("overlap") + F.col("extra") + F.col("p_extra"))
     apart = (F.col("label") != F.col("p_label")) & ~F.coalesce(F.col("prev") == F.col("p_prev"), F.lit(False))
-    open_ = apart & enough(bound, F.col("n"), F.col("p_n")) & may_link(F.col("n"), F.col("pos"), F.col("rest"), F.col("p_n"), F.col("p_pos"), F.col("p_rest"))
+    # At the first token that two sets share, those after it decide; later ones need not meet their pair again.
+    open_ = apart & enough(F.least(bound, 1 + F.least("rest", "p_rest")), F.col("n"), F.col("p_n")) & (4 * F.least("n", "p_n") >= 3 * F.greatest("n", "p_n"))
     pairs = probes.join(e, ["token", "size_class", "leader", "inner"]).where(open_)
     return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
 
@@ -415,7 +428,7 @@ def classes(docs: DataFrame, k: int = 5) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(2 * partitions(spark), -(-size // RANGE_BYTES))
     asked = docs.select("doc_id", "text").mapInArrow(questions(k, ranges), _FLOW)
-    flow = tables.write(asked.repartition(max(partitions(spark), ranges // 4), "range").mapInArrow(answers, _FLOW), "shared")
+    flow = tables.write(asked.repartition(max(partitions(spark), ranges // 2), "range").mapInArrow(answers, _FLOW), "shared")
     core = flow.groupBy("chunk").applyInArrow(cores, "node binary, n long, single long, core binary")
     core = tables.write(core.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "single", "core"))), "cores")
     rows = materialise(flow.where("kind = 2").select("a", "b", "c").mapInArrow(unpacked, "doc_id long, n_shingles long, node binary"), "rows")
