@@ -8,8 +8,8 @@ on held-out labelled rows and combined by a logistic model of the two calibrated
 which scores every whole document.
 
 At most ``max_labelled`` labelled rows, the first by a hash of the id, are held by the driver.
-Each round reads all other rows where they lie, in numpy batches, and sends sums of fixed size
-over every confident one; scoring reads all rows.
+The features of all rows are written once. Each round reads those of all other rows where they lie,
+in numpy batches, and sends sums of fixed size over every confident one; scoring reads all rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.quality_rules import counts
-from lexmesh.llm.shared import free_prefix
+from lexmesh.llm.shared import Scratch, free_prefix, hash_sample, materialise
 from lexmesh.llm.textbytes import Texts, sliced
 
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 64, 16
@@ -118,78 +118,84 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, c, self.w[0] * a + self.w[1] * c + self.b))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, share: float = 0.1, confident: float = 0.95) -> CoTrained | None:
-    """Fit on rows whose label is 0, 1 or, in the pool, -1; None without rows of both labels."""
-    known, pool = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
-    held, own = known[::4], np.setdiff1d(known, known[::4])
-    if not 0 < label[own].sum() < len(own):
-        return None
-    views = (text, meta)
-    taught: list[dict[int, int]] = [{}, {}]  # pseudo-labels each view has been given
-    models: list[View] = []
-    for _ in range(rounds + 1):
-        models = []
-        for x, given in zip(views, taught, strict=True):
-            rows = np.concatenate([own, np.fromiter(given, int, len(given))])
-            models.append(fit_view(x[rows], np.concatenate([label[own], np.fromiter(given.values(), int, len(given))]).astype(float)))
-        for k in (0, 1):
-            free = np.array([i for i in pool if i not in taught[1 - k]], int)
-            if not len(free):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(models[k].raw(views[k][free]), -30, 30)))
-            base = label[own].mean()
-            for kind, sure, portion in ((1, p, base), (0, 1 - p, 1 - base)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(share * portion * len(pool)))]
-                taught[1 - k] |= {int(free[i]): kind for i in best if sure[i] >= confident}
-    return combined(models, views, label, held)
+def calibrated(model: View, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make a view's raw scores log odds."""
+    w, b = fit_logistic(model.raw(x)[:, None] / 4, y, np.ones(len(y)), l2=1e-4)
+    return max(float(w[0]) / 4, 0.0), b
+
 
+def combined(models: list[View], views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray, pull: float = 0.05) -> CoTrained:
+    """Both views calibrated and combined on the held-out labelled rows.
 
-def combined(models: list[View], views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray) -> CoTrained:
-    """Both views calibrated and combined on the held-out labelled rows."""
+    Views that are independent given the label add up: weights of 1, less the log odds of the labels. The
+    combination is drawn to that by ``pull`` and fitted on scores that were calibrated on the other half of the rows.
+    """
     y = label[held].astype(float)
-    if 0 < y.sum() < len(y):
-        for model, x in zip(models, views, strict=True):
-            w, b = fit_logistic(model.raw(x[held])[:, None] / 4, y, np.ones(len(y)), l2=1e-4)
-            model.scale, model.shift = max(float(w[0]) / 4, 0.0), b
-        both = np.stack([m.logit(x[held]) for m, x in zip(models, views, strict=True)], 1)
-        w, b = fit_logistic(both, y, np.ones(len(y)), l2=1e-4)
-    else:
-        w, b = np.array([0.5, 0.5]), 0.0
+    halves = (np.arange(len(y)) % 2 == 0, np.arange(len(y)) % 2 == 1)
+    if not all(0 < y[h].sum() < h.sum() for h in halves):
+        return CoTrained(models[0], models[1], np.array([0.5, 0.5]), 0.0)
+    both = np.zeros((len(y), 2))
+    for own, other in (halves, halves[::-1]):
+        for i, (model, x) in enumerate(zip(models, views, strict=True)):
+            scale, shift = calibrated(model, x[held][other], y[other])
+            both[own, i] = scale * model.raw(x[held][own]) + shift
+    for model, x in zip(models, views, strict=True):
+        model.scale, model.shift = calibrated(model, x[held], y)
+    start = np.array([1.0, 1.0, -np.log(y.mean() / (1 - y.mean()))])
+    w, b = fit_logistic(np.clip(both, -6, 6), y, np.ones(len(y)), l2=0.0, pull=(start, np.zeros(3), pull * np.eye(3)))
     return CoTrained(models[0], models[1], np.maximum(w, 0.0), b)
 
 
 def featured(docs: DataFrame) -> DataFrame:
+    """Both views of every row, as 16-bit floats: doc_id, text_view, meta_view."""
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches, "text"):
-            c = counts(texts)
-            pair = (text_view(texts, c), metadata_view(part, texts, c))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([row.tobytes() for row in x], pa.binary()) for x in pair)], ["doc_id", "label", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary()) for x in both_views(part, texts))], ["doc_id", "text_view", "meta_view"])
+
+    return docs.select("doc_id", "text", *(c for c in ("source", "lang") if c in docs.columns)).mapInArrow(features, "doc_id long, text_view binary, meta_view binary")
+
+
+def both_views(part: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    c = counts(texts)
+    return text_view(texts, c), metadata_view(part, texts, c)
 
-    return docs.mapInArrow(features, "doc_id long, label int, text_view binary, meta_view binary")
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+    """Parts of batches of features, and both views of their rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part, tuple(np.frombuffer(b"".join(part.column(k).to_pylist()), np.float16).reshape(part.num_rows, -1).astype(np.float32) for k in (1, 2))
 
-def pool_sums(docs: DataFrame, models: list[View], known: list[int], confident: float) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+
+def confident_rows(logit: np.ndarray, label: int, confident: float) -> np.ndarray:
+    sure = np.log(confident / (1 - confident))
+    return logit >= sure if label else logit <= -sure
+
+
+def pool_sums(features: DataFrame, models: list[View], known: list[int], confident: float, trusted: tuple[tuple[bool, bool], tuple[bool, bool]] = ((True, True), (True, True))) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """Of each view as a pupil and each label its teacher gives: gradient sums and products of features.
 
-    Sums run over every row of ``docs`` but those of the ids ``known`` and of null ids, of which the
-    other view is ``confident``. The last feature is the constant 1, so the last product counts rows.
+    Sums run over every row of ``features`` but those of the ids ``known`` and of null ids, of which the
+    other view is ``confident`` and in that label ``trusted`` (by teacher and label). The last feature is
+    the constant 1, so the last product counts rows.
     """
     sizes = [len(m.w) + 1 for m in models]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [[np.zeros((d + 1, d)) for _ in (0, 1)] for d in sizes]
-        for part, texts in sliced(batches, "text"):
+        for part, views in blocks(batches):
             ids = part.column(0)
             free = ~pc.or_(pc.is_null(ids), pc.is_in(ids, pa.array(known, ids.type))).to_numpy(zero_copy_only=False)
-            c = counts(texts)
-            views = (text_view(texts, c), metadata_view(part, texts, c))
             for k in (0, 1):
-                z, pupil = models[1 - k].raw(views[1 - k]), models[k]
-                sure = np.log(confident / (1 - confident))
-                for label, rows in ((0, free & (z <= -sure)), (1, free & (z >= sure))):
+                z, pupil = models[1 - k].logit(views[1 - k]), models[k]
+                for label in (0, 1):
+                    rows = free & confident_rows(z, label, confident) & trusted[1 - k][label]
                     x = np.hstack([pupil.standard(views[k][rows]), np.ones((rows.sum(), 1))])
                     gap = 1 / (1 + np.exp(-np.clip(x @ np.append(pupil.w, pupil.b), -30, 30))) - label
                     total[k][label][0] += gap @ x
+                    x = x.astype(np.float32)
                     total[k][label][1:] += x.T @ x
         keys, sums = zip(*(((2 * k + label) * 10_000 + i, row.astype(np.float32).tobytes()) for k in (0, 1) for label in (0, 1) for i, row in enumerate(total[k][label])), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(sums, pa.binary())], ["key", "sums"])
@@ -202,18 +208,20 @@ def pool_sums(docs: DataFrame, models: list[View], known: list[int], confident:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["key", "sums"])
 
     schema = "key int, sums binary"
-    rows = docs.select("doc_id", "text", *(c for c in ("source", "lang") if c in docs.columns)).mapInArrow(partial, schema).repartition("key").mapInArrow(add, schema).toPandas()
+    rows = features.mapInArrow(partial, schema).repartition("key").mapInArrow(add, schema).toPandas()
     found = [[np.zeros((d + 1, d)) for _ in (0, 1)] for d in sizes]
     for key, row in zip(rows["key"], rows["sums"], strict=True):
         found[key // 20_000][key // 10_000 % 2][key % 10_000] = np.frombuffer(row, np.float32)
     return [[(m[0], m[1:]) for m in pair] for pair in found]
 
 
-def co_train_all(docs: DataFrame, known: list[int], text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.95) -> CoTrained | None:
-    """Fit on labelled rows and, in each round, on every other row of ``docs``; None without rows of both labels.
+def co_train_all(features: DataFrame, known: list[int], text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.95) -> CoTrained | None:
+    """Fit on labelled rows and, in each round, on every other row of ``features``; None without rows of both labels.
 
-    The confident rows of a round weigh as much as the labelled ones, either label half. Their loss
-    is bounded by its gradient and the largest curvature a logistic loss has, so no step raises the bounded loss.
+    Teachers are calibrated on the held-out labelled rows, and teach a label only if they are right in it on
+    these rows as often as they are ``confident``; a pupil learns from a teacher that gives both labels. The
+    confident rows of a round weigh as much as the labelled ones, either label half. Their loss is bounded by
+    its gradient and the largest curvature a logistic loss has, so no step raises the bounded loss.
     """
     held = np.arange(len(label))[::4]
     own = np.setdiff1d(np.arange(len(label)), held)
@@ -222,9 +230,18 @@ def co_train_all(docs: DataFrame, known: list[int], text: np.ndarray, meta: np.n
     views, y = (text, meta), label[own].astype(float)
     models = [fit_view(x[own], y) for x in views]
     for _ in range(rounds):
-        sums = pool_sums(docs, models, known, confident)
+        trusted = []
+        for model, x in zip(models, views, strict=True):
+            if 0 < label[held].sum() < len(held):
+                model.scale, model.shift = calibrated(model, x[held], label[held].astype(float))
+            sure = [confident_rows(model.logit(x[held]), k, confident) for k in (0, 1)]
+            trusted.append(tuple((2 + (label[held][rows] == k).sum()) / (2 + rows.sum()) >= confident for k, rows in enumerate(sure)))
+        sums = pool_sums(features, models, known, confident, tuple(trusted))
         after = []
         for model, x, pair in zip(models, views, sums, strict=True):
+            if min(products[-1, -1] for _, products in pair) < 1:
+                after.append(View(model.mean, model.spread, model.w, model.b))
+                continue
             share = [0.5 / max(products[-1, -1], 1) for _, products in pair]
             gradient = sum(u * g for u, (g, _) in zip(share, pair, strict=True))
             curvature = sum(0.25 * u * products for u, (_, products) in zip(share, pair, strict=True))
@@ -234,25 +251,18 @@ def co_train_all(docs: DataFrame, known: list[int], text: np.ndarray, meta: np.n
     return combined(models, views, label, held)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int | None = None) -> CoTrained | None:
-    """Co-train on at most ``max_labelled`` labelled rows of ``docs`` and all others, or ``max_pool`` unlabelled ones."""
+def fit(features: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: int = 4) -> CoTrained | None:
+    """Co-train on at most ``max_labelled`` labelled rows of ``features`` and on all others."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.min("quality").cast("int").alias("label"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    marked = ids.join(marks, F.col("doc_id") == F.col("labelled_id"), "left")
-    order = (F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id"))
-    sample = marked.where("label IS NOT NULL").orderBy(*order).limit(max_labelled)
-    if max_pool is not None:
-        sample = sample.unionByName(marked.where("label IS NULL").orderBy(*order).limit(max_pool))
-    sample = sample.select(F.col("doc_id").alias("sample_id"), F.coalesce("label", F.lit(-1)).alias("label"))
-    # At most max_labelled (+ max_pool) rows of two numbers are broadcast.
-    present = [c for c in ("source", "lang") if c in docs.columns]
-    rows = docs.select("doc_id", "text", *present).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("doc_id", "label", "text", *present)
-    pdf = featured(rows).orderBy(*order).limit(max_labelled + (max_pool or 0)).toPandas()
+    marked = features.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id"))
+    # At most max_labelled rows of two numbers are broadcast; the driver holds their features.
+    sample = hash_sample(marked, max_labelled, 11).select("labelled_id", "label")
+    rows = features.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+    pdf = hash_sample(rows, max_labelled, 11, "text_view", "meta_view").toPandas()
     if not len(pdf):
         return None
-    text, meta = (np.stack([np.frombuffer(x, np.float32) for x in pdf[c]]) for c in ("text_view", "meta_view"))
-    label = pdf["label"].to_numpy()
-    return co_train_all(docs, sorted(set(pdf["doc_id"].tolist())), text, meta, label) if max_pool is None else co_train(text, meta, label)
+    text, meta = (np.stack([np.frombuffer(x, np.float16) for x in pdf[c]]).astype(np.float32) for c in ("text_view", "meta_view"))
+    return co_train_all(features, sorted(set(pdf["doc_id"].tolist())), text, meta, pdf["label"].to_numpy(), rounds)
 
 
 def scored(docs: DataFrame, model: CoTrained | None, columns: list[str], prefix: str = "") -> DataFrame:
@@ -263,30 +273,42 @@ def scored(docs: DataFrame, model: CoTrained | None, columns: list[str], prefix:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches, "text"):
-            if model is None:
-                found = (np.full(texts.n, 0.5),) * 3
-            else:
-                c = counts(texts)
-                found = model.score(text_view(texts, c), metadata_view(part, texts, c))
+            found = scores(model, *both_views(part, texts))
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in columns), *(pa.array(x.astype(float)) for x in found)], [*columns, *names])
 
     return docs.select(needed).mapInArrow(add, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int | None = None) -> DataFrame:
+def scores(model: CoTrained | None, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model's scores of features rounded to 16 bits; 0.5 without a model."""
+    if model is None:
+        return (np.full(len(text), 0.5),) * 3
+    return model.score(*(x.astype(np.float16).astype(np.float32) for x in (text, meta)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000) -> DataFrame:
     """Scores and verdict of every row of ``docs`` (``doc_id``, ``text``, if present ``source``, ``lang``).
 
     Returns doc_id, text_score, meta_score, score (probability of good quality) and kept
     (score >= threshold). Null texts are scored as empty ones; null ids are scored but never
     learned from; of several labels of an id the least counts; repeated rows get equal scores;
-    without labels of both kinds all scores are 0.5; other columns are ignored.
+    without labels of both kinds all scores are 0.5; an empty table gives an empty result; other
+    columns are ignored.
     """
-    model = fit(docs, labels, max_labelled, max_pool)
-    return scored(docs, model, ["doc_id"]).withColumn("kept", F.col("score") >= threshold)
+    features = materialise(featured(docs), "features")
+    model = fit(features, labels, max_labelled)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, views in blocks(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(float)) for x in scores(model, *views))], ["doc_id", "text_score", "meta_score", "score"])
+
+    return features.mapInArrow(score, "doc_id long, text_score double, meta_score double, score double").withColumn("kept", F.col("score") >= threshold)
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000, max_pool: int | None = None) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 6000) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with all their columns."""
-    model = fit(docs, labels, max_labelled, max_pool)
+    tables = Scratch(docs.sparkSession)
+    model = fit(tables.write(featured(docs), "features"), labels, max_labelled)
+    tables.clear()
     own = free_prefix(docs, "__q_")
     return scored(docs, model, docs.columns, own).where(F.col(own + "score") >= threshold).select(docs.columns)

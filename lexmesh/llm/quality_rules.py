@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.shared import free_prefix, materialise
+from lexmesh.llm.shared import free_prefix, hash_sample, materialise
 from lexmesh.llm.textbytes import BLANK, Texts, mixed, runs, sliced
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_same_words")
@@ -171,7 +171,7 @@ def training_rows(counted: DataFrame, labels: DataFrame, max_rows: int) -> tuple
     """Statistics and badness of at most ``max_rows`` labelled rows, the first by a hash of the id."""
     stats = statistics("__s_")
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.min("quality").alias("label"))
-    rows = counted.join(marks, F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64("doc_id"), "doc_id", *(f"__s_{c}" for c in COUNTS)).limit(max_rows)
+    rows = hash_sample(counted.join(marks, F.col("doc_id") == F.col("labelled_id")), max_rows, 5, *(f"__s_{c}" for c in COUNTS))
     pdf = rows.select(*(c.alias(k) for k, c in stats.items()), "label").toPandas()
     return {k: pdf[k].to_numpy(float) for k in stats}, pdf["label"].to_numpy() == 0
 
@@ -204,7 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 20000) -> DataFram
 def keep(docs: DataFrame, labels: DataFrame, max_rows: int = 20000) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("labelled_id")).distinct()
-    sample = marks.join(docs.select("doc_id").distinct(), F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("labelled_id")
+    sample = hash_sample(marks.join(docs.select("doc_id").distinct(), F.col("doc_id") == F.col("labelled_id")), max_rows, 5).select("labelled_id")
     # At most max_rows ids are broadcast.
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left_semi")
     rules = learn(*training_rows(with_counts(labelled, ["doc_id"], "__s_"), labels, max_rows))

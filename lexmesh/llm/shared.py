@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -81,6 +82,23 @@ def without(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame
     return docs.join(F.broadcast(gone) if gone.count() <= most else gone, F.col("doc_id") == F.col(own), "left_anti")
 
 
+def hash_sample(rows: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
+    """At most ``most`` of ``rows``, the first by a hash of doc_id (then by it and ``ties``).
+
+    The count of the rows gives a bound for the hash that about ``most`` of them pass; the tasks drop the
+    others, so what they send to the driver does not grow with the table.
+    """
+    full = F.xxhash64(F.lit(seed), "doc_id")
+    bucket = F.pmod(F.shiftright(full, 8), F.lit(1 << 24))
+    total = rows.count()
+    if total > most:
+        near = rows.where(bucket < math.ceil((1.05 * most + 500) / total * (1 << 24)))
+        # Ids that are often repeated may leave too few.
+        if near.count() >= most:
+            rows = near
+    return rows.orderBy(bucket, full, "doc_id", *ties).limit(most)
+
+
 def free_prefix(df: DataFrame, prefix: str) -> str:
     """The prefix, lengthened until no column of ``df`` starts with it."""
     while any(c.startswith(prefix) for c in df.columns):

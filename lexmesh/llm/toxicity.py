@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.quality_classifier import fit_logistic
-from lexmesh.llm.shared import materialise, remainder
+from lexmesh.llm.shared import hash_sample, materialise, remainder
 from lexmesh.llm.textbytes import Texts, sliced
 
 _TRIM = np.zeros(256, bool)
@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
     have are excluded one by one.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows).select("labelled_id", "toxic")
+    sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id"))
+    sample = hash_sample(sample, max_rows, 3).select("labelled_id", "toxic")
     # At most max_rows rows of two numbers are broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "toxic", "text")
 

@@ -101,7 +101,7 @@ def test_rules_on_odd_rows(docs, small, empty, spark):
 
 def test_co_training(frames, corpus):
     docs, labels = frames
-    rows, junk = quality_classifier.classify(docs, labels, max_labelled=300, max_pool=300).collect(), truth(corpus)
+    rows, junk = quality_classifier.classify(docs, labels, max_labelled=300).collect(), truth(corpus)
     held = [r for r in rows if r.doc_id % 2]
     assert len(rows) == 1500 and all(0 <= r.score <= 1 for r in rows)
     assert sum(r.kept == junk[r.doc_id] for r in held) <= 0.03 * len(held)
@@ -114,13 +114,14 @@ def test_every_unlabelled_row_takes_part(spark):
     rows = [(i, ("a b c " if i % 3 else "** || %% ") * (1 + i % 7), "s") for i in range(9000)] + [(None, "a b", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], LABELS)
-    pdf = quality_classifier.featured(docs.join(labels, "doc_id").selectExpr("doc_id", "quality label", "text", "source")).toPandas()
-    text, meta = (np.stack([np.frombuffer(x, np.float32) for x in pdf[c]]) for c in ("text_view", "meta_view"))
-    models = [quality_classifier.fit_view(x, pdf["label"].to_numpy(float)) for x in (text, meta)]
-    sums = quality_classifier.pool_sums(docs, models, list(range(300)), 0.95)
+    features = quality_classifier.featured(docs)
+    pdf = features.join(labels, "doc_id").toPandas()
+    text, meta = (np.stack([np.frombuffer(x, np.float16) for x in pdf[c]]).astype(np.float32) for c in ("text_view", "meta_view"))
+    models = [quality_classifier.fit_view(x, pdf["quality"].to_numpy(float)) for x in (text, meta)]
+    sums = quality_classifier.pool_sums(features, models, list(range(300)), 0.95)
     # The text view tells all rows apart and teaches the metadata view.
     assert [round(products[-1, -1]) for _, products in sums[1]] == [2900, 5800]
-    model = quality_classifier.fit(docs, labels)
+    model = quality_classifier.fit(features, labels)
     assert model is not None and len(model.text.w) == text.shape[1]
 
 
@@ -131,16 +132,33 @@ def test_whole_pool_on_unseen_rows(frames, corpus):
     assert len(rows) == 1500 and sum(r.kept == junk[r.doc_id] for r in held) <= 0.03 * len(held)
 
 
-def test_pseudo_labels_help():
+def test_pseudo_labels_help(spark):
     """With few labels, a view that has no signal in them learns from the other's confident ones."""
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 600)
     text = np.stack([y * 2 - 1 + rng.normal(0, 0.4, 600), rng.normal(size=600)], 1).astype(np.float32)
     meta = np.stack([y * 2 - 1 + rng.normal(0, 0.8, 600), *(rng.normal(size=600) for _ in range(20))], 1).astype(np.float32)
     label = np.where(np.arange(600) < 16, y, -1)
-    with_rounds, without = quality_classifier.co_train(text, meta, label), quality_classifier.co_train(text, meta, label, rounds=0)
+    text, meta = text.astype(np.float16), meta.astype(np.float16)
+    features = spark.createDataFrame([(i, a.tobytes(), b.tobytes()) for i, (a, b) in enumerate(zip(text, meta, strict=True))], "doc_id long, text_view binary, meta_view binary")
+    text, meta = text.astype(np.float32), meta.astype(np.float32)
+    known = label >= 0
+    with_rounds, without = (quality_classifier.co_train_all(features, list(range(16)), text[known], meta[known], label[known], rounds=n) for n in (4, 0))
     assert ((with_rounds.meta.raw(meta) > 0) == y).mean() > ((without.meta.raw(meta) > 0) == y).mean()
-    assert quality_classifier.co_train(text, meta, np.full(600, -1)) is None
+    assert quality_classifier.co_train_all(features, [], text[:0], meta[:0], label[:0]) is None
+
+
+def test_both_views_weigh_in(spark):
+    """Views that err apart are both taken, though one alone is far better."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 4000)
+    views = tuple(((y * 2 - 1)[:, None] + rng.normal(0, s, (4000, 1))).astype(np.float32) for s in (0.5, 1.2))
+    own, held = np.arange(2000), np.arange(2000, 4000)
+    models = [quality_classifier.fit_view(x[own], y[own].astype(float)) for x in views]
+    found = quality_classifier.combined(models, views, y, held)
+    assert (found.w > 0.3).all()
+    a, b, both = (((p >= 0.5) != y).mean() for p in found.score(*views))
+    assert both < min(a, b)
 
 
 def test_classifier_on_odd_rows(docs, small, empty, spark):
