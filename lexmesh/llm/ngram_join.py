@@ -428,7 +428,7 @@ def classes(docs: DataFrame, k: int = 5) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(2 * partitions(spark), -(-size // RANGE_BYTES))
     asked = docs.select("doc_id", "text").mapInArrow(questions(k, ranges), _FLOW)
-    flow = tables.write(asked.repartition(max(partitions(spark), ranges // 2), "range").mapInArrow(answers, _FLOW), "shared")
+    flow = tables.write(asked.repartition(ranges, "range").mapInArrow(answers, _FLOW), "shared")
     core = flow.groupBy("chunk").applyInArrow(cores, "node binary, n long, single long, core binary")
     core = tables.write(core.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "single", "core"))), "cores")
     rows = materialise(flow.where("kind = 2").select("a", "b", "c").mapInArrow(unpacked, "doc_id long, n_shingles long, node binary"), "rows")

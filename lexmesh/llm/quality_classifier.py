@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.quality_rules import counts
 from lexmesh.llm.shared import Scratch, free_prefix, hash_sample, materialise
-from lexmesh.llm.textbytes import Texts, sliced
+from lexmesh.llm.textbytes import SLICE_BYTES, Texts, sliced
 
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 64, 16
 
@@ -150,7 +150,7 @@ def featured(docs: DataFrame) -> DataFrame:
     """Both views of every row, as 16-bit floats: doc_id, text_view, meta_view."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text"):
+        for part, texts in sliced(batches, "text", SLICE_BYTES // 4):
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary()) for x in both_views(part, texts))], ["doc_id", "text_view", "meta_view"])
 
     return docs.select("doc_id", "text", *(c for c in ("source", "lang") if c in docs.columns)).mapInArrow(features, "doc_id long, text_view binary, meta_view binary")
@@ -272,7 +272,7 @@ def scored(docs: DataFrame, model: CoTrained | None, columns: list[str], prefix:
     needed = list(dict.fromkeys([*columns, "text", *(c for c in ("source", "lang") if c in docs.columns)]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text"):
+        for part, texts in sliced(batches, "text", SLICE_BYTES // 4):
             found = scores(model, *both_views(part, texts))
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in columns), *(pa.array(x.astype(float)) for x in found)], [*columns, *names])
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.shared import free_prefix, hash_sample, materialise
-from lexmesh.llm.textbytes import BLANK, Texts, mixed, runs, sliced
+from lexmesh.llm.textbytes import BLANK, SLICE_BYTES, Texts, mixed, runs, sliced
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_same_words")
 _SYMBOL, _UPPER, _PUNCT, _DIGIT = (np.zeros(256, bool) for _ in range(4))
@@ -77,7 +77,7 @@ def with_counts(docs: DataFrame, columns: list[str], prefix: str = "") -> DataFr
     carried = list(dict.fromkeys([*columns, "text"]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text"):
+        for part, texts in sliced(batches, "text", SLICE_BYTES // 4):
             found = counts(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in columns), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], [*columns, *(prefix + c for c in COUNTS)])
 

@@ -28,7 +28,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * SLICE_BYTES)
+        n = max(n + n // 8, SLICE_BYTES // 4)
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -85,7 +85,9 @@ class Texts:
         if lower not in self._sums:
             values = _VALUES[_LOWER] if lower else _VALUES
             sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(values[self.data] * power[: len(self.data)], out=sums[1:])
+            terms = values[self.data]
+            terms *= power[: len(self.data)]
+            np.cumsum(terms, out=sums[1:])
             self._sums[lower] = sums
         sums = self._sums[lower]
         return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
