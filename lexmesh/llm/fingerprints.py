@@ -1,7 +1,7 @@
 """Canonical exact digests of texts.
 
-The canonical text is the NFKC form, lower-cased, blanks folded to single spaces and
-trimmed. Its fingerprint is a 128-bit digest from two differently seeded 64-bit xxhash
+The canonical text is the NFKC form with case folded (ß and ss, ς and σ are one), in NFKC
+again, blanks folded to single spaces and trimmed. Its fingerprint is a 128-bit digest from two differently seeded 64-bit xxhash
 values. Texts with equal digests are grouped by digest and canonical bytes, so that two
 canonical texts that share a digest are seen, and get fingerprints with distinct suffixes.
 The grouping compares whole bytes in the aggregation's hash table and combines equal
@@ -16,9 +16,13 @@ from pyspark.sql.window import Window
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, each run of Unicode blanks one space, trimmed; null counts as empty."""
-    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)\s+", " "))
+    """NFKC, case folding, NFKC again, each run of Unicode blanks one space, trimmed; null counts as empty."""
+
+    def composed(x: Column) -> Column:
+        return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+
+    folded = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(F.coalesce(text, F.lit(""))), F.lit(True))
+    return F.trim(F.regexp_replace(composed(folded), r"(?U)\s+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -60,17 +64,17 @@ def told_apart(rows: DataFrame, variants: DataFrame, canon: str, name: str) -> D
 
 
 def with_next(docs: DataFrame, rows_per_block: int = 4000) -> DataFrame:
-    """Each row with the text of the next one in descending order of id (the last: the first).
+    """Each row with the text and the digest of the next one in descending order of id (the last: the first).
 
-    Rows of equal id follow one another by text; null ids come last. Returns doc_id, text,
-    next_text. The ids' quantiles cut the table into blocks of about ``rows_per_block`` rows;
+    Rows of equal id follow one another by text; null ids come last. Returns doc_id, text, digest,
+    next_text, next_digest. The ids' quantiles cut the table into blocks of about ``rows_per_block`` rows;
     rows with the top id of a block also go to the block before, as the text that its last row
     needs, so each text is shuffled about once and no task holds the whole order.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, top, low = rows.agg(F.count(F.lit(1)), F.max("doc_id"), F.min(F.coalesce("doc_id", F.lit(-(2**63))))).first()
     if not n:
-        return rows.withColumn("next_text", F.col("text"))
+        return rows.withColumn("digest", F.lit("")).withColumn("next_text", F.col("text")).withColumn("next_digest", F.lit(""))
     blocks = max(1, min(20000, -(-n // rows_per_block)))
     cuts = rows.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 20 * blocks)).first()[0] or []
     bounds = sorted({int(x) for x in cuts} if blocks > 1 else set())
@@ -86,9 +90,10 @@ def with_next(docs: DataFrame, rows_per_block: int = 4000) -> DataFrame:
     start = F.struct(F.col("doc_id").alias("x"), F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"] + 1 if bounds else F.lit(1)
     block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found)
-    rows = rows.withColumn("block", block)
+    # The digest goes with the text, so that no text is folded again as the next one.
+    rows = rows.withColumn("block", block).withColumn("digest", digest(canonical(F.col("text"))))
     # The ids that open a block, one for each, and the block that comes before it in the order.
-    heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))
+    heads = rows.select("block", "doc_id").groupBy("block").agg(F.max("doc_id").alias("head"))
     before = heads.withColumn("to", F.lag("block").over(Window.orderBy(F.col("block").desc())))
     last = heads.agg(F.min("block").alias("last"))
     to = before.join(F.broadcast(last)).select(F.col("block").alias("head_block"), "head", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wraps"))
@@ -98,7 +103,8 @@ def with_next(docs: DataFrame, rows_per_block: int = 4000) -> DataFrame:
     guest = F.struct(F.col("to").alias("block"), F.lit(True).alias("guest"))
     sent = marked.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     order = Window.partitionBy("at.block").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    return sent.withColumn("next_text", F.lead("text").over(order)).where("NOT at.guest").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    following = sent.withColumn("next_text", F.lead("text").over(order)).withColumn("next_digest", F.lead("digest").over(order))
+    return following.where("NOT at.guest").select("doc_id", "text", "digest", F.coalesce("next_text", "text").alias("next_text"), F.coalesce("next_digest", "digest").alias("next_digest"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -106,21 +112,26 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text is the text whose last ``floor(n_chars / 2)`` code points are replaced by the
     first as many (or all) of the next document's (see :func:`with_next`). A likeness is 1.0 if
-    the digests and the canonical bytes are equal, else 0.0. An empty table gives an empty result;
-    a single row is its own next.
+    the fingerprints are equal, else 0.0. Texts of ``docs`` that share a digest are told apart by their
+    bytes, an edited text is compared with those. Null texts count as empty; rows with one id are each
+    other's next in order of text; an empty table gives an empty result; a single row is its own next.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.withColumn("edited", edited).select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"), canonical(F.col("next_text")).alias("next_canon")
-    )
-    rows = rows.withColumn("digest", digest(F.col("canon"))).withColumn("edited_digest", digest(F.col("edited_canon")))
-    originals = docs.select(canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon")))
-    variants = collisions(originals)
+    rows = rows.withColumn("edited", edited)
+    variants = collisions(docs.select(canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon"))))
     if variants is not None:
-        rows = told_apart(told_apart(rows, variants, "canon", "digest"), variants, "edited_canon", "edited_digest")
+        canons = (("text", "digest"), ("next_text", "next_digest"), ("edited", "edited_digest"))
+        rows = rows.withColumn("edited_digest", digest(canonical(F.col("edited"))))
+        for text, name in canons:
+            rows = told_apart(rows.withColumn("canon", canonical(F.col(text))), variants, "canon", name).drop("canon")
+    else:
+        rows = rows.withColumn("edited_digest", digest(canonical(F.col("edited"))))
+    # What two columns compare is worked out once, in the projection below this one.
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "next_digest")
+
     def same(a: str, b: str) -> Column:
         return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), same("canon", "edited_canon").alias("near_edited"), same("canon", "next_canon").alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_digest").alias("near_next"))

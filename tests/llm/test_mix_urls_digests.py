@@ -80,7 +80,8 @@ def test_urls(spark):
 
 
 def canon(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip(" ")
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", folded).strip(" ")
 
 
 def digest(text):
@@ -120,3 +121,23 @@ def test_digests_that_collide_are_told_apart(spark):
 def test_canonical_forms_meet(spark):
     df = spark.createDataFrame([("Café  X",), (" café\tx ",), ("ﬁ",), ("FI",)], "text string")
     assert [r[0] for r in df.select(fingerprints.canonical(df.text)).collect()] == ["café x", "café x", "fi", "fi"]
+
+
+def test_case_folding(spark):
+    """Forms that lower-casing leaves apart."""
+    texts = ["STRASSE", "straße", "ΟΔΟΣ", "οδος", "οδοσ", "İ", "i̇", "ŉ", "ʼn", "ᾳ", "ΑΙ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(fingerprints.canonical(df.text)).collect()] == [canon(t) for t in texts]
+    assert canon("STRASSE") == canon("straße") and canon("ΟΔΟΣ") == canon("οδοσ") == canon("οδος")
+
+
+def test_reputation_tells_hosts_apart(spark):
+    """A host with many bad pages is blocked; one with few labels follows its domain, one without its suffix."""
+    rows = [(f"h{i}.good.example.com", int(j > 0)) for i in range(20) for j in range(20)]
+    rows += [(f"h{i}.bad.example.org", int(j > 15)) for i in range(20) for j in range(20)]
+    rows += [("new.bad.example.org:8080", 1), ("me@new.good.example.com", 0), ("other.example.org", None), ("other.example.com", None)]
+    df = spark.createDataFrame(rows, "host string, good int")
+    found = {r.host: r for r in host_reputation.reputation(df, threshold=0.75).collect()}
+    assert all(found[f"h{i}.good.example.com"].trusted and not found[f"h{i}.bad.example.org"].trusted for i in range(20))
+    assert not found["new.bad.example.org:8080"].trusted and found["me@new.good.example.com"].trusted
+    assert not found["other.example.org"].trusted and found["other.example.com"].trusted
