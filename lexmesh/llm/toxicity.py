@@ -5,8 +5,9 @@ toxic texts and hardly in clean ones. A word of a text matches a term if the wor
 Levenshtein automaton, run along the lexicon's trie, accepts it within the distance that
 the term's length allows; forms that clean labelled texts use are not misspellings. Each
 hit is weighed by the words around it: quotation marks about it and words of reporting
-lower it, direct address raises it. A logistic curve fitted to the labelled rows turns a
-text's sum of hits into a score.
+lower it, direct address raises it; what a mark or a word weighs is learned from the hits
+in labelled rows, starting from fixed lists. A logistic curve fitted to the labelled rows
+turns a text's sum of hits into a score. Texts are lower-cased first, whatever the script.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,16 @@ from lexmesh.llm.textbytes import Texts, sliced
 
 _TRIM = np.zeros(256, bool)
 _TRIM[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+# Last bytes of two-byte marks (« » ¡ ¿) and of three-byte ones (dashes, quotes, ellipsis).
+_TWO, _THREE = np.zeros(256, bool), np.zeros(256, bool)
+_TWO[[0xAB, 0xBB, 0xA1, 0xBF]] = True
+_THREE[[*range(0x90, 0x96), *range(0x98, 0xA0), 0xA6, 0xB9, 0xBA]] = True
 #: Words of reporting and of direct address, in the languages at hand; fixed lists.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word slur insult sagte schrieb nannte wort zitat dijo escribió llamó palabra cita dit écrit appelé mot citation".split())
 ADDRESS = frozenset("you your you're u ur du dich dein deine ihr tu te ton toi vous tú ti usted".split())
+PRIOR = {w: 0.6 for w in REPORTING} | {w: 1.3 for w in ADDRESS}
+#: What a hit in quotation marks weighs before any is seen, and hits that such a first weight counts as.
+QUOTED, PRIOR_HITS = 0.25, 20.0
 QUOTES = ('"', "“", "”", "„", "«", "»", "‘", "’")
 
 
@@ -159,25 +168,56 @@ class Matcher:
         return text[at], at, [found[i] for i in (inverse[chosen[inverse]] if len(full) else [])], words
 
 
+def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pc.utf8_lower(batch.column(at)))
+
+
 def trimmed(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches without ASCII punctuation at their ends."""
+    """The stretches without ASCII punctuation, typographic quotes, dashes and Spanish marks at their ends."""
     starts, ends = starts.copy(), ends.copy()
-    while len(rows := np.flatnonzero((ends > starts) & _TRIM[texts.data[np.minimum(starts, len(texts.data) - 1)]])):
-        starts[rows] += 1
-    while len(rows := np.flatnonzero((ends > starts) & _TRIM[texts.data[ends - 1]])):
-        ends[rows] -= 1
+    data, last = texts.data, max(len(texts.data) - 1, 0)
+
+    def byte(at: np.ndarray) -> np.ndarray:
+        return data[np.clip(at, 0, last)]
+
+    def mark(first: np.ndarray, size: np.ndarray, end: bool) -> np.ndarray:
+        """Bytes of the mark that opens (or ends) a stretch; 0 if none does."""
+        at = [first - k if end else first + k for k in range(3)]
+        one = _TRIM[byte(at[0])]
+        lead, tail = (at[1], at[0]) if end else (at[0], at[1])
+        two = (size >= 2) & (byte(lead) == 0xC2) & _TWO[byte(tail)]
+        lead, tail = (at[2], at[0]) if end else (at[0], at[2])
+        three = (size >= 3) & (byte(lead) == 0xE2) & (byte(at[1]) == 0x80) & _THREE[byte(tail)]
+        return np.where(size < 1, 0, np.where(one, 1, np.where(two, 2, np.where(three, 3, 0))))
+
+    rows = np.arange(len(starts)) if len(data) else np.zeros(0, np.int64)
+    for end in (False, True):
+        left = rows
+        while len(left):
+            step = mark(ends[left] - 1 if end else starts[left], ends[left] - starts[left], end)
+            if end:
+                ends[left] -= step
+            else:
+                starts[left] += step
+            left = left[step > 0]
     return starts, ends
 
 
-def context_weight(before: list[str], own: str, after: list[str]) -> float:
-    """How abusive a hit is, from the words of its window: quoted, reported or addressed."""
+def context(before: list[str], own: str, after: list[str]) -> tuple[bool, list[str]]:
+    """Whether a hit stands in quotation marks, and the words of its window."""
     quoted = own[:1] in QUOTES or own.rstrip(".,;:!?")[-1:] in QUOTES
     opened = sum(w.count(q) for w in before for q in QUOTES if q not in "‘’") % 2 == 1
     quoted |= opened and any(q in w for w in [own, *after] for q in QUOTES)
-    plain = [w.strip(".,;:!?\"'()").lower() for w in before + after]
-    weight = 0.25 if quoted else 1.0
-    weight *= 0.6 if any(w in REPORTING for w in plain) else 1.0
-    return weight * (1.3 if any(w in ADDRESS for w in plain) else 1.0)
+    return quoted, [w.strip(".,;:!?\"'()“”„«»‘’").lower() for w in before + after]
+
+
+def context_weight(before: list[str], own: str, after: list[str], words: dict[str, float] = PRIOR, quoted: float = QUOTED) -> float:
+    """How abusive a hit is, from its window: the weight of quotation, of its lowest and of its highest word."""
+    marks, near = context(before, own, after)
+    known = [words[w] for w in near if w in words]
+    return (quoted if marks else 1.0) * min([1.0, *known]) * max([1.0, *known])
 
 
 @dataclass
@@ -186,6 +226,8 @@ class Model:
 
     terms: list[str] = field(default_factory=list)
     clean_forms: list[str] = field(default_factory=list)
+    words: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    quoted: float = QUOTED
     slope: float = 6.0
     bias: float = -2.5
     window: int = 6
@@ -194,16 +236,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(total) + self.bias, -30, 30)))
 
 
-def weighed_hits(texts: Texts, matcher: Matcher, window: int) -> list[tuple[int, str, str, int, float]]:
-    """(text, form, term, distance, weight) of each hit; each edit costs a fifth of the weight."""
+def windows(texts: Texts, matcher: Matcher, window: int) -> Iterator[tuple[int, str, str, int, tuple[list[str], str, list[str]]]]:
+    """(text, form, term, distance, words before, at and after) of each hit."""
     owner, at, what, (text, starts, ends) = matcher.hits(texts)
-    out = []
     for t, i, (form, term, d) in zip(owner.tolist(), at.tolist(), what, strict=True):
         a, b = max(i - window, 0), min(i + window + 1, len(text))
         near = [(j, texts.slice(starts[j], ends[j])) for j in range(a, b) if text[j] == t]
-        weight = context_weight([w for j, w in near if j < i], texts.slice(starts[i], ends[i]), [w for j, w in near if j > i])
-        out.append((t, form, term, d, weight * (1 - 0.2 * d)))
-    return out
+        yield t, form, term, d, ([w for j, w in near if j < i], texts.slice(starts[i], ends[i]), [w for j, w in near if j > i])
+
+
+def weighed_hits(texts: Texts, matcher: Matcher, model: Model) -> list[tuple[int, str, str, int, float]]:
+    """(text, form, term, distance, weight) of each hit; each edit costs a fifth of the weight."""
+    return [(t, form, term, d, context_weight(*near, model.words, model.quoted) * (1 - 0.2 * d)) for t, form, term, d, near in windows(texts, matcher, model.window)]
+
+
+def learn_context(rows: DataFrame, model: Model, prior: float = PRIOR_HITS) -> None:
+    """Weights of the words around exact hits and of quotation, from labelled rows (``toxic``, ``text``).
+
+    A weight is the share of toxic texts among the hits beside the word (each text and word once), over that
+    share of all hits; ``prior`` hits of the first weight (1 for words outside the lists) are added.
+    """
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.terms)
+        for batch, texts in sliced(lowered(batches), "text"):
+            seen = set()
+            for t, _, _, d, near in windows(texts, matcher, model.window):
+                if d == 0:
+                    quoted, words = context(*near)
+                    seen |= {(t, "w" + w) for w in words if w} | {(t, "all")} | ({(t, "quoted")} if quoted else set())
+            at = [t for t, _ in seen]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array([w for _, w in seen], pa.string())], ["toxic", "word"])
+
+    found = rows.mapInArrow(beside, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("hits")).where("hits >= 3 OR word IN ('all', 'quoted')").toPandas()
+    counts = {w: (int(t), int(n)) for w, t, n in zip(found["word"], found["toxic"], found["hits"], strict=True)}
+    toxic, hits = counts.pop("all", (0, 0))
+    base = (toxic + 1) / (hits + 1)
+
+    def weight(key: str, first: float) -> float:
+        t, n = counts.get(key, (0, 0))
+        return min(max((t / base + prior * first) / (n + prior), 0.1), 2.0)
+
+    model.quoted = weight("quoted", QUOTED)
+    words = {w[1:] for w in counts if w[:1] == "w"} | set(PRIOR)
+    model.words = {w: weight("w" + w, PRIOR.get(w, 1.0)) for w in words}
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95) -> Model:
@@ -221,7 +297,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "toxic", "text")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "text"):
+        for batch, texts in sliced(lowered(batches), "text"):
             text, starts, ends = texts.words()
             a, b = trimmed(texts, starts, ends)
             h = texts.hashes(starts, ends, True)
@@ -244,7 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.sort(Matcher.hashed([w.encode() for w in candidates])) if candidates else np.zeros(0, np.uint64)
-        for _, texts in sliced(batches, "text"):
+        for _, texts in sliced(lowered(batches), "text"):
             text, starts, ends = texts.words()
             a, b = trimmed(texts, starts, ends)
             h = texts.hashes(a, b, True)
@@ -259,11 +335,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
     rate = both["toxic_docs"] / n_toxic
     terms = sorted(both["word"][rate / (rate + (both["clean_docs"] + 0.5) / n_clean) >= share])
     model = Model(terms)
+    learn_context(rows, model)
 
     def hit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
-        for batch, texts in sliced(batches, "text"):
-            hits = weighed_hits(texts, matcher, model.window)
+        for batch, texts in sliced(lowered(batches), "text"):
+            hits = weighed_hits(texts, matcher, model)
             at = pa.array([h[0] for h in hits], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.string()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.float64())], ["doc_id", "toxic", "form", "term", "distance", "weight"])
 
@@ -277,18 +354,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
     x = np.concatenate([totals["weight"].to_numpy(), [0.0, 0.0]])
     y = np.concatenate([totals["toxic"].to_numpy(float), [0.0, 1.0]])
     w = np.concatenate([np.ones(len(totals)), [max(n_clean - (totals["toxic"] == 0).sum(), 1e-9), max(n_toxic - (totals["toxic"] == 1).sum(), 1e-9)]])
-    if len(totals) >= 10:
-        slope, bias = fit_logistic(np.log1p(x)[:, None] * 10, y, w, l2=1e-6, steps=2000, rate=0.02)
-        model.slope, model.bias = max(float(slope[0]) * 10, 0.5), float(bias)
+    # The curve starts from one that counts as five rows.
+    first = (np.array([model.slope / 10, model.bias]), np.zeros(2), 5 / w.sum() * np.eye(2))
+    slope, bias = fit_logistic(np.log1p(x)[:, None] * 10, y, w, l2=1e-6, steps=2000, rate=0.02, pull=first)
+    model.slope, model.bias = max(float(slope[0]) * 10, 0.5), float(bias)
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms, model.clean_forms)
-        for batch, texts in sliced(batches, "text"):
+        for batch, texts in sliced(lowered(batches), "text"):
             total, exact, near = np.zeros(texts.n), np.zeros(texts.n, np.int64), np.zeros(texts.n, np.int64)
-            for t, _, _, d, weight in weighed_hits(texts, matcher, model.window):
+            for t, _, _, d, weight in weighed_hits(texts, matcher, model):
                 total[t] += weight
                 (near if d else exact)[t] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(total)), pa.array(exact), pa.array(near)], ["doc_id", "score", "n_exact", "n_misspelled"])

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -252,6 +253,41 @@ def test_context_weights():
     assert toxicity.context_weight(["he", "said", '"what', "a"], "loser", ['man"']) < plain
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.text("aäßб", min_size=5, max_size=12), min_size=1, max_size=6), st.lists(st.text("aAäÄßбБ😀", max_size=13), min_size=1, max_size=12), st.sampled_from(["{}", "“{}”", "«{}»,", "¿{}?", "'{}'…", "– {} –"]))
+def test_no_match_is_lost_to_case_or_marks(terms, words, frame):
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(frame.format(w) for w in words)])], ["text"])
+    lower = next(toxicity.lowered(iter([batch]))).column(0)
+    _, _, what, _ = toxicity.Matcher(terms).hits(Texts(lower))
+    want = []
+    for word in pa.compute.utf8_lower(pa.array(words)).to_pylist():
+        near = [(d, t) for t in terms if (d := levenshtein_of(word, t)) <= toxicity.allowed(t)]
+        want += [(word, *min(near)[::-1])] if word and near else []
+    assert what == want
+
+
+def test_context_is_learned(spark):
+    """A word that stands beside the term in clean texts takes its weight, as does quotation; a list has neither."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "tu"]) for _ in range(3)) for _ in range(100)]
+    rows, labels = [], []
+    for i in range(1200):
+        text, clean = [rng.choice(words) for _ in range(30)], i % 2
+        if not clean:
+            text.insert(rng.randrange(30), "grubbler")
+        elif i % 40 == 1:
+            at = rng.randrange(30)
+            text[at:at] = ["zitierend", "grubbler"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, None, int(not clean)))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    model = toxicity.learn(df, marks)
+    assert model.terms == ["grubbler"] and model.words["zitierend"] < 0.6 < 0.9 < min(model.words.get(w, 1.0) for w in words)
+    more = spark.createDataFrame([(1, "ka lomi grubbler tuka"), (2, "ka zitierend grubbler tuka"), (3, "ka “grubbler” tuka")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.scored(more, model).collect()}
+    assert score[1] >= 0.7 > score[2] and score[3] < score[1]
+
+
 def base_scores(rows):
     def tokens(text):
         return [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
