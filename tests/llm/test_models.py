@@ -11,10 +11,18 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmesh.functions.sql import levenshtein_of
 from lexmesh.llm import maxent_lm, quality_classifier, quality_rules, toxicity
 from lexmesh.llm.textbytes import Texts
 
+def levenshtein_of(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(left + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id long, quality int, toxic int"
 
