@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmesh.functions import distance, normalize, phonetic
 
-_TYPED_NGRAMS = {"string": "STRING", "int": "INT", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+_TYPED_NGRAMS = {"decimal": "DECIMAL(38, 18)"} | {t: t.upper() for t in "string boolean tinyint smallint int bigint float double date timestamp timestamp_ntz binary".split()}
 
 
-def register(spark: SparkSession, override_builtins: bool = False) -> None:
+def register(spark: SparkSession) -> None:
     """Make the functions known to ``spark.sql``.
 
     ``strip_diacritics``, ``unaccent``, ``double_metaphone`` and ``damerau_levenshtein(a, b[, k])`` have
     their own names; ``lk_soundex`` and ``lk_levenshtein(a, b[, k])`` differ from Spark's built-ins of the
-    name without prefix; arrays have ``ngrams_<type>(array, n)``. With ``override_builtins`` the
-    names ``soundex`` and ``levenshtein`` stand for these, as Python functions for this session alone.
+    name without prefix; arrays have ``ngrams_<type>(array, n)``, which raises where n is null or not positive.
     """
     spark.udf.register("strip_diacritics", normalize._strip)
     spark.udf.register("double_metaphone", phonetic._metaphone)
@@ -37,40 +33,6 @@ def register(spark: SparkSession, override_builtins: bool = False) -> None:
         ("unaccent(s STRING)", "STRING", unaccent),
         ("lk_levenshtein(a STRING, b STRING, k BIGINT DEFAULT -1)", "BIGINT", levenshtein),
         ("damerau_levenshtein(a STRING, b STRING, k BIGINT DEFAULT -1)", "BIGINT", "__damerau(a, b, k)"),
-        *((f"ngrams_{name}(a ARRAY<{kind}>, n INT)", f"ARRAY<ARRAY<{kind}>>", "CASE WHEN a IS NULL THEN NULL WHEN size(a) < n THEN array() ELSE transform(sequence(1, greatest(size(a) - n + 1, 1)), i -> slice(a, i, n)) END") for name, kind in _TYPED_NGRAMS.items()),
+        *((f"ngrams_{name}(a ARRAY<{kind}>, n INT)", f"ARRAY<ARRAY<{kind}>>", "CASE WHEN n IS NULL OR n <= 0 THEN raise_error('ngrams: n must be positive') WHEN a IS NULL THEN NULL WHEN size(a) < n THEN array() ELSE transform(sequence(1, greatest(size(a) - n + 1, 1)), i -> slice(a, i, n)) END") for name, kind in _TYPED_NGRAMS.items()),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {returns} RETURN {body}")
-    if override_builtins:
-        spark.udf.register("soundex", F.pandas_udf(own_soundex, T.StringType()))
-        spark.udf.register("levenshtein", F.pandas_udf(own_levenshtein, T.LongType()))
-
-
-def own_soundex(s: pd.Series) -> pd.Series:
-    return s.map(soundex_of, na_action="ignore")
-
-
-def own_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else levenshtein_of(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
-
-
-def soundex_of(text: str) -> str:
-    out, last = "", ""
-    for char in text.split("\0", 1)[0].encode().decode("ascii", "ignore").upper():
-        if char in phonetic.LETTERS:
-            digit = phonetic.SOUNDEX_DIGITS[phonetic.LETTERS.index(char)]
-            if not out:
-                out = char
-            elif digit not in ("0", last):
-                out += digit
-            last = digit
-    return out[:4].ljust(4, "0")
-
-
-def levenshtein_of(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left = row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(left + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]

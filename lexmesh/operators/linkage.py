@@ -30,7 +30,7 @@ def metaphone_keys(value: Column) -> Column:
 
 
 def deletion_keys(k: int) -> Keys:
-    """Keys under which all values within Levenshtein distance k (0 to 2) meet: k deletions at most."""
+    """Keys under which all values within distance k (0 to 2; Levenshtein or Damerau) meet: k deletions at most."""
     if k not in (0, 1, 2):
         raise ValueError("deletion_keys: k must be 0, 1 or 2")
 
@@ -67,8 +67,8 @@ def block_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 def _close(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: int, keys: Keys | None, metric: str) -> DataFrame:
     if metric not in ("levenshtein", "damerau"):
         raise ValueError("metric must be 'levenshtein' or 'damerau'")
-    # Twice the deletions meet all pairs within a Damerau distance.
-    keys = keys or deletion_keys(k if metric == "levenshtein" else 2 * k)
+    # An edit costs either side one deletion at most; a transposition too: of the character that changes places.
+    keys = keys or deletion_keys(k)
     if metric == "levenshtein":
         pairs = block_pairs(left, right, left_on, right_on, keys, levenshtein("left_value", "right_value", k) <= k)
         return pairs.withColumn("distance", levenshtein("left_value", "right_value", k))
@@ -79,7 +79,7 @@ def _close(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: in
 def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | None = None, metric: str = "levenshtein") -> DataFrame:
     """Rows of both sides whose values are within ``max_distance``, with the ``distance``.
 
-    Without ``keys`` the join is exact (for Levenshtein up to 2, for Damerau up to 1); keys such as
+    Without ``keys`` the join is exact, up to a distance of 2; keys such as
     :func:`soundex_keys` restrict it to pairs of one block. Column names of the sides must differ.
     """
     near = _close(left, right, left_on, right_on, max_distance, keys, metric)

@@ -11,7 +11,7 @@ from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein
 from lexmesh.functions import phonetic as ph
 from lexmesh.operators import best_match, block_pairs, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
 from lexmesh.operators.linkage import ranked_matches
-from lexmesh.sources import all_words, read_table, words
+from lexmesh.sources import all_words, read_table
 
 
 def sql_soundex(word: str) -> str:
@@ -24,7 +24,14 @@ def sql_soundex(word: str) -> str:
 
 
 def sql_words(table: str, text: str) -> str:
-    return f"SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower({text}), '(?:^|[^\\p{{L}}\\p{{N}}])([a-z]+)', 1)) AS word, unnest(regexp_extract_all(lower({text}), '(?:^|[^\\p{{L}}\\p{{N}}])[a-z]+([\\p{{L}}\\p{{N}}]?)', 1)) AS after FROM {table}) WHERE after = ''"
+    return f"SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {table})"
+
+
+def sql_distance(name: str, a: str, b: str) -> str:
+    """Distances in SQL count bytes: each lower-case letter of Latin-1 takes the place of one that no word has."""
+    latin = "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7)
+    bytes_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&+"
+    return f"{name}(translate({a}, '{latin}', '{bytes_}'), translate({b}, '{latin}', '{bytes_}'))"
 
 
 def levenshtein_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +60,11 @@ def ngrams_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soundex_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(read_table(spark, sf_dir, "documents"), "text").select("word", soundex("word").alias("code"))
+    return all_words(read_table(spark, sf_dir, "documents"), "text").select("word", soundex("word").alias("code"))
 
 
 def soundex_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = words(read_table(spark, sf_dir, "documents"), "text").select(soundex("word").alias("code"))
+    coded = all_words(read_table(spark, sf_dir, "documents"), "text").select(soundex("word").alias("code"))
     return coded.select(F.substring("code", 1, 1).alias("initial"), "code").rollup("initial", "code").agg(F.count(F.lit(1)).alias("n_words"))
 
 
@@ -73,9 +80,9 @@ def double_metaphone_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_words(read_table(spark, sf_dir, "documents"), "text").select("word", F.array_join(double_metaphone("word"), "/").alias("codes"))
 
 
-def _sides(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame, str], DataFrame] = words) -> tuple[DataFrame, DataFrame]:
-    left = of(read_table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("word", "left_word")
-    return left, of(read_table(spark, sf_dir, "conversations"), "text").withColumnRenamed("word", "right_word")
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = all_words(read_table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("word", "left_word")
+    return left, all_words(read_table(spark, sf_dir, "conversations"), "text").withColumnRenamed("word", "right_word")
 
 
 def block_soundex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,7 @@ def block_soundex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_metaphone_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_pairs(*_sides(spark, sf_dir, all_words), "left_word", "right_word", metaphone_keys)
+    return block_pairs(*_sides(spark, sf_dir), "left_word", "right_word", metaphone_keys)
 
 
 def fuzzy_join_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +136,10 @@ QUERIES = {
     "double_metaphone": (double_metaphone_words, None),
     "block_soundex_join": (block_soundex_join, f"{_PAIRS} SELECT * FROM p"),
     "block_metaphone_join": (block_metaphone_join, None),
-    "fuzzy_join": (fuzzy_join_words, f"{_NEAR} SELECT l.word AS left_word, r.word AS right_word, levenshtein(l.word, r.word)::BIGINT AS distance FROM l, r WHERE levenshtein(l.word, r.word) <= 1"),
-    "fuzzy_join_damerau": (fuzzy_join_damerau, f"{_NEAR} SELECT l.word AS left_word, r.word AS right_word, damerau_levenshtein(l.word, r.word)::BIGINT AS distance FROM l, r WHERE damerau_levenshtein(l.word, r.word) <= 1"),
-    "fuzzy_semi_join": (fuzzy_semi_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE EXISTS (SELECT 1 FROM r WHERE levenshtein(l.word, r.word) <= 1)"),
-    "fuzzy_anti_join": (fuzzy_anti_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE levenshtein(l.word, r.word) <= 1)"),
-    "best_match": (best_match_words, f"{_PAIRS}, d AS (SELECT *, levenshtein(left_value, right_value)::BIGINT AS distance FROM p) SELECT left_value, right_value, distance FROM d WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) = 1"),
-    "top_matches": (top_matches, f"{_PAIRS}, d AS (SELECT *, levenshtein(left_value, right_value)::BIGINT AS distance FROM p) SELECT left_value, right_value, distance, row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) AS rank FROM d WHERE distance <= 3 QUALIFY rank <= 3"),
+    "fuzzy_join": (fuzzy_join_words, f"{_NEAR} SELECT l.word AS left_word, r.word AS right_word, {sql_distance('levenshtein', 'l.word', 'r.word')}::BIGINT AS distance FROM l, r WHERE {sql_distance('levenshtein', 'l.word', 'r.word')} <= 1"),
+    "fuzzy_join_damerau": (fuzzy_join_damerau, f"{_NEAR} SELECT l.word AS left_word, r.word AS right_word, {sql_distance('damerau_levenshtein', 'l.word', 'r.word')}::BIGINT AS distance FROM l, r WHERE {sql_distance('damerau_levenshtein', 'l.word', 'r.word')} <= 1"),
+    "fuzzy_semi_join": (fuzzy_semi_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE EXISTS (SELECT 1 FROM r WHERE {sql_distance('levenshtein', 'l.word', 'r.word')} <= 1)"),
+    "fuzzy_anti_join": (fuzzy_anti_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE {sql_distance('levenshtein', 'l.word', 'r.word')} <= 1)"),
+    "best_match": (best_match_words, f"{_PAIRS}, d AS (SELECT *, {sql_distance('levenshtein', 'left_value', 'right_value')}::BIGINT AS distance FROM p) SELECT left_value, right_value, distance FROM d WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) = 1"),
+    "top_matches": (top_matches, f"{_PAIRS}, d AS (SELECT *, {sql_distance('levenshtein', 'left_value', 'right_value')}::BIGINT AS distance FROM p) SELECT left_value, right_value, distance, row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) AS rank FROM d WHERE distance <= 3 QUALIFY rank <= 3"),
 }

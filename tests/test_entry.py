@@ -10,7 +10,7 @@ def test_every_library_query_runs(spark):
     from lexmesh import catalog
 
     for name, run in catalog.queries().items():
-        assert run(spark, SF).columns, name
+        assert run(spark, SF).count() > 0, name
 
 
 def test_entry_module_has_both(spark):
