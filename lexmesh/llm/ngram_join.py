@@ -63,7 +63,7 @@ def questions(k: int, ranges: int):
         part, number = TaskContext.get().partitionId(), 0
         cuts = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
         # With many ranges slices grow, so that a row keeps some hundred shingles.
-        for batch, texts in sliced(batches, "text", min(max(SLICE_BYTES, 600 * ranges), 8 * SLICE_BYTES)):
+        for batch, texts in sliced(batches, "text", min(max(SLICE_BYTES // 2, 300 * ranges), 8 * SLICE_BYTES)):
             sets = shingles(texts, k)
             chunk, number = (part << 32) + number, number + 1
             sig = signatures(sets)
