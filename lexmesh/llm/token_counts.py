@@ -70,13 +70,15 @@ def allotted(starts: np.ndarray, ends: np.ndarray, edges: np.ndarray, rule: str)
 def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", separator: str = "\n") -> DataFrame:
     """Token counts of the sections of each text of ``docs`` (``doc_id``, ``text``).
 
-    Sections are the stretches between separators, each with the separator that ends it. Returns a row
+    Sections are the stretches between separators (one character), each with the separator that ends it. Returns a row
     for each section: doc_id, section (from 0), start and length in characters, tokens (whole numbers
     but for rule ``share``). A document's counts add up to its number of tokens. Null and empty texts
     have one empty section without tokens; repeated rows are counted each; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if len(separator) != 1:
+        raise ValueError("separator must be one character")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.frombuffer(separator.encode("utf-32-le"), np.uint32)[0]
@@ -109,6 +111,7 @@ def count_field_tokens(docs: DataFrame, fields: list[str], tokenizer: str, rule:
     """Token counts of the given fields, encoded as one text (joined by ``joiner``) for each row.
 
     Returns doc_id, field, tokens; the joiner belongs to the field before it, null fields are empty.
+    Repeated rows and null ids are rows like any other, other columns are ignored, an empty table gives an empty result.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
