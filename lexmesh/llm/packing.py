@@ -53,6 +53,8 @@ class Encoder:
     """
 
     REMEMBERED = 300_000
+    #: What the fast encoder and ``tokenizers`` must agree on before the vocabulary file is used.
+    PROBE = "The children's naïve questions, 1234567 of them,  weren't\n\n\tanswered! Straße über-all <a_b> internationalisation"
 
     def __init__(self, path: str):
         import tiktoken
@@ -69,6 +71,8 @@ class Encoder:
         self.kinds = kinds()
         self.forget()
         self.values = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 0x251, np.uint64) | np.uint64(1)
+        if not np.array_equal(self.encode([self.PROBE])[0], self.whole([self.PROBE])[0]):
+            raise ValueError(f"{path}: its pre-tokens, normaliser or order of merges are not those this encoder knows")
 
     def forget(self) -> None:
         self.keys, self.starts, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)

@@ -1,5 +1,7 @@
 """Null ids, and a text longer than any slice, through every operator."""
 
+import json
+
 import public_tokenizers
 import pytest
 
@@ -45,6 +47,15 @@ def test_tokens_of_null_ids(odd):
     assert {r[0]: r[1] for r in pieces} == {i: int(n) + rows_of[i] for i, n in by_id.items()}
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    """A normaliser that the fast encoder does not know would give other ids."""
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    (tmp_path / "lower.json").write_text(json.dumps(file | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.encoder(str(tmp_path / "lower.json"))
+    assert packing.encoder(PATH).encode(["a b"])[0].size == 2
+
+
 def test_separators_are_one_character(odd):
     for separator in ("", "\n\n"):
         with pytest.raises(ValueError):
