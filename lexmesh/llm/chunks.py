@@ -96,17 +96,17 @@ def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     return chunks.join(gathered, F.col("chunk") == F.col("a_chunk"), "left").select("chunk", "doc_ids", "texts", "answers")
 
 
-def summed(df: DataFrame) -> DataFrame:
-    """Sums of float32 vectors by key: ``df`` has rows (key int, vector binary), few keys."""
+def summed(df: DataFrame, dtype: type = np.float32) -> DataFrame:
+    """Sums of vectors of ``dtype`` by key: ``df`` has rows (key int, vector binary), few keys."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(vector.as_buffer(), np.float32)
+                own = np.frombuffer(vector.as_buffer(), dtype)
                 sums[key] = sums[key] + own if key in sums else own.astype(float)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["key", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(dtype).tobytes() for v in sums.values()], pa.binary())], ["key", "vector"])
 
     return df.repartition(partitions(df.sparkSession), "key").mapInArrow(add, "key int, vector binary")
 

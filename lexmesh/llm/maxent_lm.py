@@ -1,22 +1,24 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-A token's probability is that of its class given the words before it, times that of the
-token in its class. The class has a softmax over hashed features of the context (n-grams of
-words and of word endings, and skips); the token's share of its class comes from exact
-counts. Words fall in classes by their endings, which are clustered by the endings that
-stand beside them, so a word that was never seen has a class too.
+A token's probability is that of its class given the words before it, times that of its
+group in the class given the same words, times that of the token in its group. Class and
+group each have a softmax over hashed features of the context (n-grams of words and of
+word endings, and skips; those of the groups also hold the class); the token's share of its
+group comes from counts over all training texts, by 64-bit hashes of the words. Words fall
+in classes by their endings, which are clustered by the endings that stand beside them, so
+a word that was never seen has a class too; the words of a class fall in groups by hash.
 
 Training reads all training documents. Feature counts give the first weights; then each
-update sums the expected counts over all tasks and moves the weights along the gradient
-(observed less expected counts), scaled by the expected counts. All tables that are sent
-around have a fixed, hashed size.
+update sums the expected counts over all tasks and moves the weights of both layers along
+the gradient (observed less expected counts), scaled by the expected counts. All tables that
+are sent around have a fixed, hashed size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,31 @@ from lexmesh.llm import chunks as ch
 from lexmesh.llm.shared import materialise, remainder
 from lexmesh.llm.textbytes import Texts, mixed
 
-ENDINGS, CLASSES = 512, 32
-#: Rows of the weight table that each feature hashes into.
+#: Endings, classes of endings, and groups of the words of a class.
+ENDINGS, CLASSES, GROUPS = 512, 32, 16
+KINDS = ENDINGS * GROUPS
+#: Rows of the weight table that each feature hashes into: of the classes, and of the groups.
 SIZES = (4096, 8192, 512, 512, 8192, 4096)
-STARTS = np.concatenate([[0], np.cumsum(SIZES)])
+GROUP_SIZES = (8192, 4096, 4096)
 #: Tokens whose softmax is worked out together.
 STEP = 8_000
 _END = ENDINGS - 1
 
 
+@dataclass
+class Model:
+    """The classes of the endings, the log shares of the groups in each class, and the weights of both layers."""
+
+    classes: np.ndarray
+    group_base: np.ndarray
+    spans: np.ndarray
+    weights: np.ndarray | None = None
+    group_weights: np.ndarray | None = None
+
+
 @dataclass
 class Tokens:
-    """Tokens of some texts: text, hash (its low bits are the ending), ending, place in the text."""
+    """Tokens of some texts: text, hash (its low bits are the ending, then the group), ending, place in the text."""
 
     text: np.ndarray
     hash: np.ndarray
@@ -82,6 +97,19 @@ class Tokens:
         hashed = [mixed(k) % np.uint64(n) if n > ENDINGS else k % np.uint64(n) for k, n in zip(keys, SIZES, strict=True)]
         return np.stack([h.astype(np.uint16) for h in hashed])
 
+    def groups(self) -> np.ndarray:
+        return ((self.hash // np.uint64(ENDINGS)) % np.uint64(GROUPS)).astype(np.int64)
+
+    def group_features(self, own: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """As :meth:`features`, for the groups of each token's ``own`` class.
+
+        ``spans``: for each feature the first row of each class, and the end. A class has rows of its own.
+        """
+        word, ending = self.hash | np.uint64(1 << 63), (self.ending + 1).astype(np.uint64)
+        keys = [self.before(word, 1), self.before(ending, 1) * np.uint64(1024) + self.before(ending, 2), self.before(word, 2)]
+        first, size = spans[:, own], np.diff(spans)[:, own].astype(np.uint64)
+        return np.stack([a + (mixed(k) % n).astype(np.int64) for a, n, k in zip(first, size, keys, strict=True)]).astype(np.uint16)
+
 
 def trained(doc_ids: pa.Array) -> np.ndarray:
     """Whether each document may be learned from."""
@@ -137,10 +165,13 @@ def learn_classes(chunks: DataFrame, rounds: int = 25) -> np.ndarray:
     return np.append(near, CLASSES - 1)
 
 
-def scores(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+def scores(weights: np.ndarray, features: np.ndarray, sizes: Sequence[int] = SIZES, base: np.ndarray | None = None) -> np.ndarray:
     """Sums of the weights of the features that are on, less the largest: a row for each token."""
-    parts = [weights[a:b] for a, b in zip(STARTS, STARTS[1:], strict=False)]
+    starts = np.cumsum((0, *sizes))
+    parts = [weights[a:b] for a, b in zip(starts, starts[1:], strict=False)]
     z = parts[0].take(features[0], 0)
+    if base is not None:
+        z += base
     more = np.empty_like(z)
     for part, rows in zip(parts[1:], features[1:], strict=True):
         z += part.take(rows, 0, out=more, mode="clip")
@@ -148,54 +179,116 @@ def scores(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return z
 
 
-def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = scores(weights, features)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+def log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log of each row's softmax at its own column."""
+    return z[np.arange(len(z)), own] - np.log(np.exp(z).sum(1))
+
+
+def blocks(features: np.ndarray) -> Iterator[slice]:
+    for i in range(0, features.shape[1], STEP):
+        yield slice(i, i + STEP)
 
 
-def expected_counts(weights: np.ndarray, features: np.ndarray, tables: list[np.ndarray]) -> None:
-    """Add the classes' probabilities to the features that are on; ``tables``: (classes, rows) each."""
-    p = scores(weights, features)
-    np.exp(p, out=p)
+def expected_counts(z: np.ndarray, features: np.ndarray, table: np.ndarray, sizes: Sequence[int] = SIZES) -> None:
+    """Add the softmax of ``z`` to the rows of ``table`` whose features are on."""
+    kinds = table.shape[1]
+    p = np.exp(z)
     p /= p.sum(1, keepdims=True)
-    of_class = p.T.astype(np.float64)
-    for table, rows in zip(tables, features.astype(np.int64), strict=True):
-        for k in range(CLASSES):
-            table[k] += np.bincount(rows, of_class[k], table.shape[1])
+    p = p.ravel().astype(float)
+    for rows, start, size in zip(features.astype(np.int64), np.cumsum((0, *sizes)), sizes, strict=False):
+        cells = (rows[:, None] * kinds + np.arange(kinds)).ravel()
+        table[start : start + size] += np.bincount(cells, p, size * kinds).reshape(size, kinds)
 
 
-def learn_weights(chunks: DataFrame, classes: np.ndarray, updates: int = 2, rate: float = 0.4, prior: float = 20.0, start: float = 0.3, damping: float = 30.0) -> np.ndarray:
-    """The weight table: from feature counts, then by gradient updates over all training tokens."""
+def observed_counts(own: np.ndarray, features: np.ndarray, table: np.ndarray, sizes: Sequence[int] = SIZES) -> None:
+    """Count the outcome ``own`` of each token in the rows of ``table`` whose features are on."""
+    kinds = table.shape[1]
+    for rows, start, size in zip(features.astype(np.int64), np.cumsum((0, *sizes)), sizes, strict=False):
+        table[start : start + size] += np.bincount(rows * kinds + own, minlength=size * kinds).reshape(size, kinds)
+
+
+def packed(*tables: np.ndarray) -> pa.RecordBatch:
+    """Tables below one another in rows of one width, by block number."""
+    return keyed(np.vstack([t.reshape(-1, CLASSES) for t in tables]), 1024)
+
+
+def class_spans(tokens: np.ndarray) -> np.ndarray:
+    """For each feature of the groups the first row of each class, and the end: rows in proportion to the class's tokens."""
+    share = np.cumsum(np.append(0, tokens))
+    share /= share[-1]
+    return np.stack([np.arange(CLASSES + 1) + np.floor(share * (n - CLASSES)).astype(np.int64) for n in GROUP_SIZES])
+
+
+def learn_weights(chunks: DataFrame, model: Model, updates: int = 2, rate: float = 0.4, prior: float = 20.0, start: float = 0.3, group_start: float = 0.5, damping: float = 30.0) -> Model:
+    """``model`` with the weights of both layers: from feature counts, then by gradient updates over all training tokens."""
+    rows, group_rows = sum(SIZES), sum(GROUP_SIZES)
+    classes, group_base, spans = model.classes, model.group_base, model.spans
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(STARTS[-1] * CLASSES)
+        seen, group_seen = np.zeros((rows, CLASSES)), np.zeros((group_rows, GROUPS))
         for tokens in training_tokens(batches):
-            own, features = classes[tokens.ending], tokens.features(classes)
-            for rows, at, size in zip(features.astype(np.int64), STARTS * CLASSES, SIZES, strict=False):
-                table[at : at + size * CLASSES] += np.bincount(rows * CLASSES + own, minlength=size * CLASSES)
-        yield keyed(table.reshape(-1, CLASSES), 1024)
-
-    seen = collected(chunks.mapInArrow(observed, "key int, vector binary"), CLASSES, int(STARTS[-1]))
-    share = seen[STARTS[2] : STARTS[3]].sum(0) + 0.5
+            own = classes[tokens.ending]
+            observed_counts(own, tokens.features(classes), seen)
+            observed_counts(tokens.groups(), tokens.group_features(own, spans), group_seen, GROUP_SIZES)
+        yield packed(seen, group_seen)
+
+    def sums(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = collected(df, CLASSES, rows + group_rows * GROUPS // CLASSES)
+        return table[:rows], table[rows:].reshape(-1, GROUPS)
+
+    seen, group_seen = sums(chunks.mapInArrow(observed, "key int, vector binary"))
+    # The third feature is on in one row for each token.
+    share = seen[sum(SIZES[:2]) : sum(SIZES[:3])].sum(0) + 0.5
     share /= share.sum()
     # The first feature's rows also carry the classes' log shares, once.
     weights = start * (np.log((seen + prior * share) / (seen.sum(1, keepdims=True) + prior)) - np.log(share))
     weights[: SIZES[0]] += np.log(share)
+    group_share = np.exp(np.vstack([group_base.repeat(n, 0) for n in np.diff(spans)]))
+    group_weights = group_start * np.log((group_seen + prior * group_share) / (group_seen.sum(1, keepdims=True) + prior) / group_share)
     for _ in range(updates):
-        now = weights.astype(np.float32)
+        now = replace(model, weights=weights.astype(np.float32), group_weights=group_weights.astype(np.float32))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = [np.zeros((CLASSES, size)) for size in SIZES]
+            table, group_table = np.zeros((rows, CLASSES)), np.zeros((group_rows, GROUPS))
             for tokens in training_tokens(batches):
-                features = tokens.features(classes)
-                for i in range(0, features.shape[1], STEP):
-                    expected_counts(now, features[:, i : i + STEP], tables)
-            yield keyed(np.hstack(tables).T, 1024)
+                own, features = classes[tokens.ending], tokens.features(classes)
+                group_features = tokens.group_features(own, spans)
+                for part in blocks(features):
+                    expected_counts(scores(now.weights, features[:, part]), features[:, part], table)
+                    z = scores(now.group_weights, group_features[:, part], GROUP_SIZES, group_base[own[part]])
+                    expected_counts(z, group_features[:, part], group_table, GROUP_SIZES)
+            yield packed(table, group_table)
+
+        table, group_table = sums(chunks.mapInArrow(expected, "key int, vector binary"))
+        weights = weights + rate * np.clip((seen - table) / (table + damping), -1.5, 1.5)
+        group_weights = group_weights + rate * np.clip((group_seen - group_table) / (group_table + damping), -1.5, 1.5)
+    return replace(model, weights=weights.astype(np.float32), group_weights=group_weights.astype(np.float32))
+
+
+def context_scores(model: Model, tokens: Tokens) -> np.ndarray:
+    """Log probability of each token's class times that of its group in the class."""
+    own, groups = model.classes[tokens.ending], tokens.groups()
+    features, group_features = tokens.features(model.classes), tokens.group_features(own, model.spans)
+    out = np.zeros(len(own))
+    for part in blocks(features):
+        out[part] = log_share(scores(model.weights, features[:, part]), own[part])
+        out[part] += log_share(scores(model.group_weights, group_features[:, part], GROUP_SIZES, model.group_base[own[part]]), groups[part])
+    return out
+
+
+def kind_counts(answers: DataFrame) -> np.ndarray:
+    """Training tokens (first row) and distinct training tokens of each kind, summed in the tasks."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * KINDS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                total += np.frombuffer(t, "<i8")
+        vectors = [x.tobytes() for x in total.reshape(-1, ENDINGS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(vectors)), pa.int32()), pa.array(vectors, pa.binary())], ["key", "vector"])
 
-        model = collected(chunks.mapInArrow(expected, "key int, vector binary"), CLASSES, int(STARTS[-1]))
-        weights = weights + rate * np.clip((seen - model) / (model + damping), -1.5, 1.5)
-    return weights.astype(np.float32)
+    sums = ch.summed(answers.where("chunk = -1").select("totals").mapInArrow(parts, "key int, vector binary"), np.int64).orderBy("key").collect()
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["vector"], np.int64) for r in sums)]).reshape(2, -1) if sums else np.zeros((2, KINDS), np.int64)
 
 
 def ask(doc_ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -216,16 +309,16 @@ def score_texts(docs: DataFrame, updates: int = 2) -> DataFrame:
     result; other columns are ignored.
     """
     chunks = ch.chunked(docs)
-    answers = materialise(ch.counted(chunks, ask, 1, ENDINGS), "counts")
-    summary = np.zeros((2, ENDINGS), np.int64)
-    # A row of fixed size for each range of hashes.
-    totals = answers.where("chunk = -1").select("totals").toPandas()["totals"]
-    for t in totals:
-        summary += np.frombuffer(t, "<i8").reshape(2, ENDINGS)
-    n, v = int(summary[0].sum()), int(summary[1].sum())
+    answers = materialise(ch.counted(chunks, ask, 1, KINDS), "counts")
+    counts = kind_counts(answers)
+    n, v = int(counts[0].sum()), int(counts[1].sum())
     classes = learn_classes(chunks)
-    weights = learn_weights(chunks, classes, updates)
-    of_class, words_of = np.bincount(classes, summary[0], CLASSES), np.bincount(classes, summary[1], CLASSES)
+    # Tokens and distinct tokens of each group of each class; a word that was never seen counts as one more.
+    mass = np.zeros((2, CLASSES, GROUPS))
+    np.add.at(mass, (slice(None), np.tile(classes, GROUPS), np.repeat(np.arange(GROUPS), ENDINGS)), counts)
+    mass = mass[0] + 0.5 * (mass[1] + 1)
+    group_base = np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)
+    model = learn_weights(chunks, Model(classes, group_base, class_spans(mass.sum(1))), updates)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +327,7 @@ def score_texts(docs: DataFrame, updates: int = 2) -> DataFrame:
                 tokens = Tokens.of(texts)
                 keys, counts = ch.table(batch.column(3)[row])
                 c = ch.looked_up(keys, counts, tokens.hash)
-                own, features = classes[tokens.ending], tokens.features(classes)
-                log_p = np.log((c + 0.5) / (of_class[own] + 0.5 * (words_of[own] + 1)))
-                for i in range(0, len(own), STEP):
-                    part = log_softmax(weights, features[:, i : i + STEP])
-                    log_p[i : i + STEP] += part[np.arange(len(part)), own[i : i + STEP]]
+                log_p = np.log((c + 0.5) / mass[classes[tokens.ending], tokens.groups()]) + context_scores(model, tokens)
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
                 size = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(

@@ -321,18 +321,48 @@ def test_language_model_beats_unigrams(spark):
 
 
 def test_language_model_is_a_distribution():
-    """The probabilities of all classes of a context add up to one."""
+    """The probabilities of all classes of a context add up to one, and those of all groups of a class."""
     rng = np.random.default_rng(2)
-    weights = rng.normal(size=(int(maxent_lm.STARTS[-1]), maxent_lm.CLASSES)).astype(np.float32)
+    classes = rng.integers(0, maxent_lm.CLASSES, maxent_lm.ENDINGS)
+    base = np.log(rng.dirichlet(np.ones(maxent_lm.GROUPS), maxent_lm.CLASSES))
     tokens = maxent_lm.Tokens.of(pa.array(["a b c d", None, "the end"]))
-    features = tokens.features(rng.integers(0, maxent_lm.CLASSES, maxent_lm.ENDINGS))
-    assert features.shape == (len(maxent_lm.SIZES), 9) and (features.max(1) < maxent_lm.SIZES).all()
-    p = np.exp(maxent_lm.log_softmax(weights, features))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-    tables = [np.zeros((maxent_lm.CLASSES, n)) for n in maxent_lm.SIZES]
-    maxent_lm.expected_counts(weights, features, tables)
-    for table, rows in zip(tables, features, strict=True):
-        want = np.zeros_like(table)
-        for token, row in enumerate(rows):
-            want[:, row] += p[token]
+    own = classes[tokens.ending]
+    spans = maxent_lm.class_spans(rng.random(maxent_lm.CLASSES) + np.eye(maxent_lm.CLASSES)[3] * 40)
+    assert (np.diff(spans) > 0).all() and (spans[:, -1] == maxent_lm.GROUP_SIZES).all()
+    layers = (maxent_lm.SIZES, maxent_lm.CLASSES, tokens.features(classes), None), (maxent_lm.GROUP_SIZES, maxent_lm.GROUPS, tokens.group_features(own, spans), base[own])
+    total = np.zeros(9)
+    for sizes, kinds, features, start in layers:
+        assert features.shape == (len(sizes), 9) and (features.max(1) < sizes).all()
+        weights = rng.normal(size=(sum(sizes), kinds))
+        z = maxent_lm.scores(weights, features, sizes, start)
+        log_p = np.stack([maxent_lm.log_share(z, np.full(9, k)) for k in range(kinds)], 1)
+        assert np.allclose(np.exp(log_p).sum(1), 1, atol=1e-5)
+        table, want = np.zeros_like(weights), np.zeros_like(weights)
+        maxent_lm.expected_counts(z, features, table, sizes)
+        for token, rows in enumerate(features.T):
+            for row, at in zip(rows, np.cumsum((0, *sizes)), strict=False):
+                want[at + row] += np.exp(log_p[token])
         assert np.allclose(table, want, atol=1e-5)
+        total += log_p[np.arange(9), own if start is None else tokens.groups()]
+        if start is None:
+            class_weights = weights
+    model = maxent_lm.Model(classes, base, spans, class_weights, weights)
+    assert np.allclose(maxent_lm.context_scores(model, tokens), total)
+
+
+def test_language_model_knows_which_word_follows(spark):
+    """Words of one ending, hence one class: only the layer of the groups can tell which of them follows."""
+    rng, rows, names = random.Random(8), [], [f"{a}{b}ora" for a in "bcdfglmnprst" for b in "aeiou"]
+    follows = dict(zip(names, rng.sample(names, len(names)), strict=True))
+    for i in range(1000):
+        text = [rng.choice(names)]
+        while len(text) < 40:
+            text.append(follows[text[-1]] if rng.random() < 0.9 else rng.choice(names))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    per_token = []
+    for updates in (0, 1, 2, 3):
+        got = maxent_lm.score_texts(docs, updates).where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+        per_token.append(got[0])
+    # Log loss on held-out texts falls with each update, and is well under that of the words alone.
+    assert per_token == sorted(per_token) and per_token[2] > got[1] + 0.25
