@@ -129,6 +129,8 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = mine > 0
             if keep.any():
                 yield batch_of([(key, row[1], 0, planes(own[keep]), owner[keep].tobytes(), np.minimum(mine[keep], (1 << 32) - 1).astype("<u4").tobytes())])
+    # The worker lives on through other stages, without what Arrow keeps of these batches.
+    pa.default_memory_pool().release_unused()
 
 
 def tags_of(owners: np.ndarray, tags: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmesh.llm.shared import materialise
-from lexmesh.llm.textbytes import mixed, powers, sliced
+from lexmesh.llm.textbytes import SLICE_BYTES, mixed, powers, sliced
 
 #: Shares of a round are whole multiples of 2 ** -SHIFT tokens.
 SHIFT = 16
@@ -244,7 +244,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         part, own, block = TaskContext.get().partitionId(), encoder(path), 0
         begun: dict[str | None, int] = {}
-        for batch, _ in sliced(batches, "text"):
+        for batch, _ in sliced(batches, "text", SLICE_BYTES // 4):
             ids, bounds = own.encode([t or "" for t in batch.column(2).to_pylist()])
             sources, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             rows: dict[str | None, list[int]] = {}

@@ -137,7 +137,10 @@ def shingles(texts: Texts, k: int = 5) -> list[np.ndarray]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Parts of the batches with about ``size`` bytes of text and SLICE_ROWS rows at most, and their texts."""
+    """Parts of the batches with about ``size`` bytes of text and SLICE_ROWS rows at most, and their texts.
+
+    Memory that Arrow keeps of a batch goes back before the next one, as workers live on through other stages.
+    """
     for batch in batches:
         at = batch.schema.get_field_index(column)
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -148,3 +151,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             part = batch.slice(begin, end - begin)
             yield part, Texts(part.column(at))
             begin = end
+        pa.default_memory_pool().release_unused()
