@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
+from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, vector_codes
 from lexmesh.llm.shared import documents
 
 
@@ -58,9 +58,13 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op13_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op2_section_tokens, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_section_tokens, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest, op13_adaptive_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_systematic_mix": mixing.ORACLE, "op7_shingle_join": ngram_join.ORACLE, "op8_host_reputation": host_reputation.ORACLE}
+    return {"op6_systematic_mix": mixing.ORACLE, "op7_shingle_join": ngram_join.ORACLE, "op8_host_reputation": host_reputation.ORACLE, "op13_adaptive_codes": vector_codes.oracle()}
