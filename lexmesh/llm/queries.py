@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, quality_classifier, quality_rules, token_alignment, token_counts, toxicity, vector_codes
+from lexmesh.llm import fingerprints, host_reputation, maxent_lm, mixing, ngram_join, packing, personal_data, quality_classifier, quality_rules, token_alignment, token_counts, toxicity, vector_codes
 from lexmesh.llm.shared import documents
 
 
@@ -64,12 +64,16 @@ def op11_anchor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(documents(spark, sf_dir))
+
+
 def op13_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op2_section_tokens, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest, op11_anchor_alignment, op13_adaptive_codes)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_section_tokens, op3_lexicon_automata, op4_hashed_maxent, op5_decision_list, op6_systematic_mix, op7_shingle_join, op8_host_reputation, op9_deficit_packing, op10_canonical_digest, op11_anchor_alignment, op12_deobfuscated_pii, op13_adaptive_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
