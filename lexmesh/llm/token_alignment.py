@@ -13,16 +13,17 @@ go back to the documents, broadcast if the pairs have been counted to be few eno
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.packing import Encoder, kinds, spread
+from lexmesh.llm.packing import Encoder, spread
 from lexmesh.llm.shared import materialise
 from lexmesh.llm.textbytes import SLICE_BYTES, mixed, powers, sliced
 
@@ -32,6 +33,8 @@ ID_BITS = 20
 MOST_PAIRS, SALTS = 3_000_000, 16
 #: Windows, and bytes of their groups as text, that a worker remembers.
 MOST_WINDOWS, MOST_TEXT = 300_000, 60_000_000
+#: Groups with more links are counted by their distinct ids.
+MOST_LINKS = 4096
 
 
 class PlainEncoder(Encoder):
@@ -47,39 +50,20 @@ class PlainEncoder(Encoder):
         self.bytes = TokenBytes([tokens.get(i, b"") for i in range(max(tokens) + 1)])
 
 
-class PieceEncoder(Encoder):
-    """The piece vocabulary's tokens of texts that start with the space which the model adds.
-
-    No piece has a space after another character, so a run of spaces with the characters up to the next one
-    is encoded on its own; texts with characters from U+0250 on or control characters are encoded whole.
-    """
+class PieceEncoder:
+    """The piece vocabulary's tokens of texts that start with the space which the model adds."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError(f"{path}: has pieces that go on after a space")
         self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        self.space, self.special, self.kinds = self.model.piece_to_id("▁"), set(), kinds()
-        self.forget()
-        self.values = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, 0x251, np.uint64) | np.uint64(1)
-        if not np.array_equal(self.encode([" " + self.PROBE])[0], self.whole([" " + self.PROBE])[0]):
-            raise ValueError(f"{path}: its normaliser or order of merges is not one this encoder knows")
-
-    def one(self, piece: str) -> list[int]:
-        return self.model.encode(piece[1:]) if len(piece) > 1 else [self.space]
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint32) for ids in self.model.encode([t[1:] for t in texts], num_threads=1)]
-
-    def cuts(self, points: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        space = points == 32
-        start = space.copy()
-        start[1:] &= ~space[:-1]
-        start[offsets[:-1]] = True
-        return np.flatnonzero(start)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the start of each text's ids (and the end)."""
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return np.concatenate([np.fromiter(ids, np.uint32, len(ids)) for ids in found]), np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
 
 
 class TokenBytes:
@@ -106,14 +90,87 @@ class TokenBytes:
         return good
 
 
+class Side(NamedTuple):
+    """One side's tokens of a slice: ids, where they start and end, and the first token of each window (and the end)."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+
+    def of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of some windows, and how many each has."""
+        sizes = self.cuts[windows + 1] - self.cuts[windows]
+        return spread(self.cuts[windows], sizes), sizes
+
+
+class Aligned(NamedTuple):
+    """Some windows aligned: ids of both sides, groups as text, numbers of groups and links, linked pairs with how often."""
+
+    ids: tuple[np.ndarray, np.ndarray]
+    sizes: tuple[np.ndarray, np.ndarray]
+    texts: list[str]
+    groups: np.ndarray
+    links: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    n_pairs: np.ndarray
+
+
+@cache
+def written_ids(n: int) -> np.ndarray:
+    """The first n ids as text before each of the three signs that may follow one."""
+    return np.array([[f"{i}{sign}" for i in range(n)] for sign in ",|;"], object)
+
+
+def align(a: Side, b: Side, windows: np.ndarray) -> Aligned:
+    """Align some windows, in ascending order, all at once."""
+    (a_at, a_sizes), (b_at, b_sizes) = a.of(windows), b.of(windows)
+    shared = np.intersect1d(a.ends[a_at], b.ends[b_at], assume_unique=True)
+    a_group, b_group = np.searchsorted(shared, a.ends[a_at]), np.searchsorted(shared, b.ends[b_at])
+    n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
+    a_ids, b_ids = a.ids[a_at], b.ids[b_at]
+    # A group belongs to the window of its first token.
+    first = np.cumsum(n_a) - n_a
+    owner = np.repeat(np.arange(len(windows)), a_sizes)[first]
+    groups = np.bincount(owner, minlength=len(windows))
+    edges = np.cumsum(groups) - groups
+    links = np.add.reduceat(n_a * n_b, edges)
+    small = n_a * n_b <= MOST_LINKS
+    kept = np.flatnonzero(small[a_group])
+    counts = n_b[a_group[kept]]
+    pairs = np.repeat(a_ids[kept] << ID_BITS, counts) | b_ids[spread((np.cumsum(n_b) - n_b)[a_group[kept]], counts)]
+    times, of = np.ones(len(pairs), np.int64), np.repeat(owner[a_group[kept]], counts)
+    for g in np.flatnonzero(~small):
+        # Equal ids of a long group are counted together, so it costs its distinct ids.
+        (x, n), (y, m) = (np.unique(ids[group == g], return_counts=True) for ids, group in ((a_ids, a_group), (b_ids, b_group)))
+        pairs = np.append(pairs, (x[:, None] << ID_BITS | y[None]).ravel())
+        times = np.append(times, (n[:, None] * m[None]).ravel())
+        of = np.append(of, np.full(len(x) * len(y), owner[g]))
+    if not small.all():
+        order = np.argsort(of, kind="stable")
+        pairs, times, of = pairs[order], times[order], of[order]
+    # The tokens in the order in which they are written, each with the sign after it.
+    side = np.concatenate([2 * a_group, 2 * b_group + 1])
+    order = np.argsort(side, kind="stable")
+    side = side[order]
+    last = np.append(side[1:] != side[:-1], True)
+    ids = np.concatenate([a_ids, b_ids])[order]
+    words = written_ids(max(int(ids.max()) + 1, 1 << 16))[np.where(last, 1 + side % 2, 0), ids].tolist()
+    ends = np.cumsum(a_sizes + b_sizes).tolist()
+    texts = ["".join(words[i:j])[:-1] for i, j in pairwise([0, *ends])]
+    return Aligned((a_ids, b_ids), (a_sizes, b_sizes), texts, groups, links, pairs, times, np.bincount(of, minlength=len(windows)))
+
+
 class Windows:
-    """Aligned windows by their ids: groups as text, numbers of groups and links, linked pairs with how often."""
+    """Aligned windows, remembered by their ids: found by a hash of these, then compared with them."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.bounds = [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
         self.texts: list[str] = []
         self.text_bytes = 0
         self.groups, self.links, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -122,40 +179,37 @@ class Windows:
     def full(self) -> bool:
         return len(self.texts) > MOST_WINDOWS or self.text_bytes > MOST_TEXT
 
-    def add(self, new: list[tuple[str, int, int, Counter]]) -> None:
-        if not new:
-            return
-        self.texts += [w[0] for w in new]
-        self.text_bytes += sum(len(w[0]) for w in new)
-        self.groups = np.append(self.groups, [w[1] for w in new])
-        self.links = np.append(self.links, [w[2] for w in new])
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(w[3]) for w in new]))
-        self.pairs = np.append(self.pairs, [p for w in new for p in w[3]])
-        self.times = np.append(self.times, [n for w in new for n in w[3].values()])
-
-
-def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int, int, Counter]:
-    """Groups of a window as text, their number, the number of links, and how often each pair of ids is linked."""
-    groups, links, pairs, i, j = [], 0, Counter(), 0, 0
-    while i < len(a):
-        p, q = i, j
-        i, j = i + 1, j + 1
-        while (end := a_ends[i - 1]) != (other := b_ends[j - 1]):
-            if end < other:
-                i += 1
-            else:
-                j += 1
-        groups.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-        links += (i - p) * (j - q)
-        if i - p == j - q == 1:
-            pairs[a[p] << ID_BITS | b[q]] += 1
-        else:
-            # Equal ids of one group are counted together, so a long group costs its distinct ids.
-            own = Counter(b[q:j])
-            for x, n in Counter(a[p:i]).items():
-                for y, m in own.items():
-                    pairs[x << ID_BITS | y] += n * m
-    return ";".join(groups), len(groups), links, pairs
+    def find(self, hashes: np.ndarray, sides: tuple[Side, Side], windows: np.ndarray) -> np.ndarray:
+        """The number of each of some windows, -1 if it is not known."""
+        if not len(self.keys):
+            return np.full(len(windows), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        number = np.where(self.keys[at] == hashes, self.places[at], -1)
+        for side, ids, bounds in zip(sides, self.ids, self.bounds, strict=True):
+            rows = np.flatnonzero(number >= 0)
+            own = number[rows]
+            at, sizes = side.of(windows[rows])
+            alike = sizes == bounds[own + 1] - bounds[own]
+            number[rows[~alike]] = -1
+            differs = side.ids[at[np.repeat(alike, sizes)]] != ids[spread(bounds[own[alike]], sizes[alike])]
+            number[np.repeat(rows[alike], sizes[alike])[differs]] = -1
+        return number
+
+    def add(self, new: Aligned, hashes: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """The numbers of new windows; those to ``keep`` can be found again."""
+        number = len(self.texts) + np.arange(len(new.texts))
+        self.texts += new.texts
+        self.text_bytes += sum(map(len, new.texts))
+        for k in range(2):
+            self.ids[k] = np.append(self.ids[k], new.ids[k])
+            self.bounds[k] = np.append(self.bounds[k], self.bounds[k][-1] + np.cumsum(new.sizes[k]))
+        self.groups, self.links = np.append(self.groups, new.groups), np.append(self.links, new.links)
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(new.n_pairs))
+        self.pairs, self.times = np.append(self.pairs, new.pairs), np.append(self.times, new.times)
+        order = np.flatnonzero(keep)[np.argsort(hashes[keep])]
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.places = np.insert(self.keys, at, hashes[order]), np.insert(self.places, at, number[order])
+        return number
 
 
 class Aligner:
@@ -188,9 +242,9 @@ class Aligner:
             ends = np.cumsum(table.sizes[ids])
             starts = ends - table.sizes[ids]
             flat.append((ids, starts, ends, starts[table.spaced[ids]]))
-        anchors = np.union1d(np.intersect1d(flat[0][3], flat[1][3], assume_unique=True), offsets[:-1])
-        cuts = [np.append(np.searchsorted(starts, anchors), len(ids)) for ids, starts, _, _ in flat]
-        window = self.numbered(flat, cuts)
+        # Both sides' tokens start with a space here; every text starts so.
+        anchors = np.intersect1d(flat[0][3], flat[1][3], assume_unique=True)
+        window = self.numbered(*(Side(ids, starts, ends, np.append(np.searchsorted(starts, anchors), len(ids))) for ids, starts, ends, _ in flat))
         own = self.windows
         bounds = np.searchsorted(anchors, offsets)
         for k, values in ((2, own.groups), (3, own.links)):
@@ -210,45 +264,40 @@ class Aligner:
         edges = np.searchsorted(keys >> (2 * ID_BITS), np.arange(n + 1))
         return numbers, groups, edges, keys & ((1 << (2 * ID_BITS)) - 1), times
 
-    def numbered(self, flat: list[tuple], cuts: list[np.ndarray]) -> np.ndarray:
-        """The number of each window among the remembered ones; new ones are aligned.
+    def numbered(self, a: Side, b: Side) -> np.ndarray:
+        """The number of each window of a slice among the remembered ones; new ones are aligned.
 
-        Windows of one slice are first told apart by a hash of their ids, then each is compared with
-        the first of its hash, and the distinct ones are looked up by their ids.
+        Windows are told apart by a hash of their ids, and each is compared with the first of its hash.
         """
         own = self.windows
         if own.full():
             own.forget()
-        hashes = np.zeros(len(cuts[0]) - 1, np.uint64)
-        for salt, (ids, *_), cut in zip((1, 3), flat, cuts, strict=True):
-            power, inverse = powers(len(ids) + 1)
-            sums = np.zeros(len(ids) + 1, np.uint64)
-            np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(salt)) * power[: len(ids)], out=sums[1:])
+        hashes = np.zeros(len(a.cuts) - 1, np.uint64)
+        for salt, side in ((1, a), (3, b)):
+            power, inverse = powers(len(side.ids) + 1)
+            sums = np.zeros(len(side.ids) + 1, np.uint64)
+            np.cumsum(mixed(side.ids.astype(np.uint64) + np.uint64(salt)) * power[: len(side.ids)], out=sums[1:])
+            cut = side.cuts
             hashes = mixed(hashes * np.uint64(5) + (sums[cut[1:]] - sums[cut[:-1]]) * inverse[cut[:-1]] + np.diff(cut).astype(np.uint64))
         _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
         alike = np.ones(len(hashes), bool)
-        for (ids, *_), cut in zip(flat, cuts, strict=True):
-            size = np.diff(cut)
-            alike &= size == size[first][group]
+        for side in (a, b):
+            sizes = np.diff(side.cuts)
+            alike &= sizes == sizes[first][group]
             rows = np.flatnonzero(alike)
-            where = spread(cut[:-1][rows], size[rows])
-            differs = ids[where] != ids[spread(cut[:-1][first[group[rows]]], size[rows])]
-            alike[np.repeat(rows, size[rows])[differs]] = False
-        odd = np.flatnonzero(~alike)  # equal hashes of different windows: each is looked up by itself
+            (mine, sizes), (other, _) = side.of(rows), side.of(first[group[rows]])
+            alike[np.repeat(rows, sizes)[side.ids[mine] != side.ids[other]]] = False
+        odd = np.flatnonzero(~alike)  # equal hashes of different windows: each is aligned by itself
         group[odd] = len(first) + np.arange(len(odd))
+        number = np.append(own.find(hashes[first], (a, b), first), np.full(len(odd), -1))
         first = np.append(first, odd)
-        (a_ids, _, a_ends, _), (b_ids, _, b_ends, _) = flat
-        number, new = np.empty(len(first), np.int64), []
-        a_keys, b_keys = a_ids.astype("<u4").tobytes(), b_ids.astype("<u4").tobytes()
-        for k, (i, j, p, q) in enumerate(zip(cuts[0][first].tolist(), cuts[0][first + 1].tolist(), cuts[1][first].tolist(), cuts[1][first + 1].tolist(), strict=True)):
-            # The number of the first side's ids tells where they end.
-            key = (j - i).to_bytes(4, "little") + a_keys[4 * i : 4 * j] + b_keys[4 * p : 4 * q]
-            found = own.known.get(key)
-            if found is None:
-                found = own.known[key] = len(own.texts) + len(new)
-                new.append(align(a_ids[i:j].tolist(), a_ends[i:j].tolist(), b_ids[p:q].tolist(), b_ends[p:q].tolist()))
-            number[k] = found
-        own.add(new)
+        new = np.flatnonzero(number < 0)
+        new = new[np.argsort(first[new])]
+        if len(new):
+            windows = first[new]
+            at = np.searchsorted(own.keys, hashes[windows])
+            keep = (new < len(number) - len(odd)) & (np.append(own.keys, 0)[at] != hashes[windows])
+            number[new] = own.add(align(a, b, windows), hashes[windows], keep)
         return number[group]
 
 
