@@ -1,5 +1,6 @@
 """DataFrame operators for record linkage."""
 
-from lexmesh.operators.linkage import best_match, block_pairs, deletion_keys, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
+from lexmesh.operators.linkage import SEGMENTS, best_match, block_pairs, deletion_keys, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
+from lexmesh.operators.segments import near_values, nearest, values_of
 
-__all__ = ["best_match", "block_pairs", "deletion_keys", "fuzzy_anti", "fuzzy_join", "fuzzy_semi", "metaphone_keys", "soundex_keys"]
+__all__ = ["SEGMENTS", "best_match", "block_pairs", "deletion_keys", "fuzzy_anti", "fuzzy_join", "fuzzy_semi", "metaphone_keys", "near_values", "nearest", "soundex_keys", "values_of"]

@@ -16,8 +16,11 @@ from pyspark.sql.window import Window
 
 from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein, soundex
 from lexmesh.functions.distance import damerau_possible
+from lexmesh.operators.segments import near_values, values_of
 
 Keys = Callable[[Column], Column]
+#: Given as keys: the index of segments, which holds for any distance and for long values.
+SEGMENTS = "segments"
 
 
 def soundex_keys(value: Column) -> Column:
@@ -64,9 +67,11 @@ def block_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     return a.join(b, on if condition is None else on & condition).select("left_value", "right_value").distinct()
 
 
-def _close(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: int, keys: Keys | None, metric: str) -> DataFrame:
+def _close(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: int, keys: Keys | str | None, metric: str) -> DataFrame:
     if metric not in ("levenshtein", "damerau"):
         raise ValueError("metric must be 'levenshtein' or 'damerau'")
+    if keys == SEGMENTS or (keys is None and k > 2):
+        return near_values(values_of(left, left_on), values_of(right, right_on), k, metric)
     # An edit costs either side one deletion at most; a transposition too: of the character that changes places.
     keys = keys or deletion_keys(k)
     if metric == "levenshtein":
@@ -76,23 +81,24 @@ def _close(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: in
     return pairs.withColumn("distance", damerau_levenshtein("left_value", "right_value", k)).where(F.col("distance") <= k)
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | None = None, metric: str = "levenshtein") -> DataFrame:
+def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | str | None = None, metric: str = "levenshtein") -> DataFrame:
     """Rows of both sides whose values are within ``max_distance``, with the ``distance``.
 
-    Without ``keys`` the join is exact, up to a distance of 2; keys such as
-    :func:`soundex_keys` restrict it to pairs of one block. Column names of the sides must differ.
+    Without ``keys`` the join is exact: up to 2 by deletions, which suits words, beyond by an index of segments, which
+    ``SEGMENTS`` chooses for small distances of long values too. Keys such as :func:`soundex_keys` restrict it to
+    pairs of one block. Column names of the sides must differ.
     """
     near = _close(left, right, left_on, right_on, max_distance, keys, metric)
     return left.join(near, left[left_on] == near["left_value"]).join(right, near["right_value"] == right[right_on]).select(*left.columns, *right.columns, "distance")
 
 
-def fuzzy_semi(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | None = None, metric: str = "levenshtein") -> DataFrame:
+def fuzzy_semi(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | str | None = None, metric: str = "levenshtein") -> DataFrame:
     """Rows of the left side that have a near value on the right."""
     near = _close(left, right, left_on, right_on, max_distance, keys, metric).select("left_value").distinct()
     return left.join(near, left[left_on] == near["left_value"], "left_semi")
 
 
-def fuzzy_anti(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | None = None, metric: str = "levenshtein") -> DataFrame:
+def fuzzy_anti(left: DataFrame, right: DataFrame, left_on: str, right_on: str, max_distance: int, keys: Keys | str | None = None, metric: str = "levenshtein") -> DataFrame:
     """Rows of the left side that have none; null values have none."""
     near = _close(left, right, left_on, right_on, max_distance, keys, metric).select("left_value").distinct()
     return left.join(near, left[left_on] == near["left_value"], "left_anti")

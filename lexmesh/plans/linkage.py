@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein, ngrams, soundex, strip_diacritics, unaccent
 from lexmesh.functions import phonetic as ph
-from lexmesh.operators import best_match, block_pairs, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
+from lexmesh.operators import best_match, block_pairs, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, near_values, nearest, soundex_keys, values_of
 from lexmesh.operators.linkage import ranked_matches
 from lexmesh.sources import all_words, read_table
 
@@ -113,6 +113,27 @@ def best_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_match(*_sides(spark, sf_dir), "left_word", "right_word", 3, soundex_keys)
 
 
+def text_lines(df: DataFrame, text: str) -> DataFrame:
+    """Distinct lines (column ``line``) of a text column."""
+    return df.select(F.explode(F.split(F.col(text), "\n")).alias("line")).distinct()
+
+
+def near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations within 4 edits of lines of documents: whole lines, mostly long ones."""
+    left = values_of(text_lines(read_table(spark, sf_dir, "conversations"), "text"), "line")
+    return near_values(left, values_of(text_lines(read_table(spark, sf_dir, "documents"), "text"), "line"), 4)
+
+
+def fuzzy_join_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' urls within 6 edits of each other, transpositions among them."""
+    urls = read_table(spark, sf_dir, "pages").select("url").distinct()
+    return fuzzy_join(urls.withColumnRenamed("url", "left_url"), urls.withColumnRenamed("url", "right_url"), "left_url", "right_url", 6, metric="damerau")
+
+
+def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(*_sides(spark, sf_dir), "left_word", "right_word")
+
+
 def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_matches(*_sides(spark, sf_dir), "left_word", "right_word", 3, soundex_keys, 3).select("left_value", "right_value", "distance", F.col("rank").cast("bigint").alias("rank"))
 
@@ -120,6 +141,20 @@ def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEFT, _RIGHT = sql_words("benchmark", "text"), sql_words("conversations", "text")
 _PAIRS = f"WITH l AS ({_LEFT}), r AS ({_RIGHT}), p AS (SELECT l.word AS left_value, r.word AS right_value FROM l JOIN r ON {sql_soundex('l.word')} = {sql_soundex('r.word')})"
 _NEAR = f"WITH l AS ({_LEFT}), r AS ({_RIGHT})"
+_MARKS = "".join(map(chr, [*range(1, 9), *range(14, 32)]))
+
+
+def sql_text_distance(name: str, a: str, b: str) -> str:
+    """As :func:`sql_distance` for whole texts, in which control characters take the place of the letters."""
+    letters = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+    return f"{name}(translate({a}, '{letters}', '{_MARKS[:len(letters)]}'), translate({b}, '{letters}', '{_MARKS[:len(letters)]}'))"
+
+
+def sql_lines(table: str) -> str:
+    return f"SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM {table}"
+
+
+_LINE_DISTANCE = sql_text_distance("levenshtein", "l.line", "r.line")
 _FOLD = "strip_accents(text)"
 
 QUERIES = {
@@ -140,6 +175,9 @@ QUERIES = {
     "fuzzy_join_damerau": (fuzzy_join_damerau, f"{_NEAR} SELECT l.word AS left_word, r.word AS right_word, {sql_distance('damerau_levenshtein', 'l.word', 'r.word')}::BIGINT AS distance FROM l, r WHERE {sql_distance('damerau_levenshtein', 'l.word', 'r.word')} <= 1"),
     "fuzzy_semi_join": (fuzzy_semi_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE EXISTS (SELECT 1 FROM r WHERE {sql_distance('levenshtein', 'l.word', 'r.word')} <= 1)"),
     "fuzzy_anti_join": (fuzzy_anti_words, f"{_NEAR} SELECT l.word AS left_word FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE {sql_distance('levenshtein', 'l.word', 'r.word')} <= 1)"),
+    "near_lines": (near_lines, f"WITH l AS ({sql_lines('conversations')}), r AS ({sql_lines('documents')}) SELECT l.line AS left_value, r.line AS right_value, {_LINE_DISTANCE}::BIGINT AS distance FROM l JOIN r ON length(r.line) BETWEEN length(l.line) - 4 AND length(l.line) + 4 WHERE {_LINE_DISTANCE} <= 4"),
+    "fuzzy_join_far": (fuzzy_join_far, "WITH u AS (SELECT DISTINCT url FROM pages) SELECT l.url AS left_url, r.url AS right_url, damerau_levenshtein(l.url, r.url)::BIGINT AS distance FROM u l, u r WHERE damerau_levenshtein(l.url, r.url) <= 6"),
+    "nearest_value": (nearest_words, f"{_NEAR} SELECT l.word AS left_value, r.word AS right_value, {sql_distance('levenshtein', 'l.word', 'r.word')}::BIGINT AS distance FROM l, r QUALIFY distance = min(distance) OVER (PARTITION BY left_value)"),
     "best_match": (best_match_words, f"{_PAIRS}, d AS (SELECT *, {sql_distance('levenshtein', 'left_value', 'right_value')}::BIGINT AS distance FROM p) SELECT left_value, right_value, distance FROM d WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) = 1"),
     "top_matches": (top_matches, f"{_PAIRS}, d AS (SELECT *, {sql_distance('levenshtein', 'left_value', 'right_value')}::BIGINT AS distance FROM p) SELECT left_value, right_value, distance, row_number() OVER (PARTITION BY left_value ORDER BY distance, right_value) AS rank FROM d WHERE distance <= 3 QUALIFY rank <= 3"),
 }

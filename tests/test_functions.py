@@ -1,10 +1,13 @@
+import random
+from pathlib import Path
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein, ngrams, register, soundex, strip_diacritics, unaccent
-from lexmesh.functions.distance import damerau, least_distance
+from lexmesh.functions.distance import banded, damerau, least_distance
 from lexmesh.functions.phonetic import metaphone
 from plain import levenshtein_of, soundex_of
 
@@ -59,6 +62,15 @@ def test_distances(spark, function, cases):
         assert df.limit(1).select(function(F.lit(a), F.lit(b), k)).first()[0] == want
 
 
+@pytest.mark.parametrize("function", [levenshtein, damerau_levenshtein])
+def test_golden_distances(spark, function):
+    lines = (Path(__file__).parent / "goldens" / f"{function.__name__}.tsv").read_text().splitlines()[1:]
+    rows = [(a, b, int(k) if k else -1, int(want)) for a, b, k, want in (line.split("\t") for line in lines)]
+    assert len(rows) == 100
+    df = spark.createDataFrame(rows, "a string, b string, k long, want long")
+    assert [tuple(r) for r in df.where(~function("a", "b", F.col("k")).eqNullSafe(F.col("want"))).collect()] == []
+
+
 def slow_damerau(a, b):
     """Unrestricted distance by its recursion over matching last characters."""
     d = {(-1, -1): len(a) + len(b)}
@@ -84,6 +96,39 @@ def test_damerau_is_unrestricted(pairs, k):
     assert all(levenshtein_of(a, b) / 2 <= w <= levenshtein_of(a, b) for (a, b), w in zip(pairs, want, strict=True))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=14), st.text("abc", min_size=1, max_size=14)), min_size=1, max_size=6), st.integers(1, 15))
+def test_bands_hold_every_path_within_them(pairs, w):
+    assert banded(pairs, w).tolist() == [min(slow_damerau(a, b), w + 1) for a, b in pairs]
+
+
+def test_long_strings_take_a_band_only():
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+
+    def edited(text, n):
+        out = list(text)
+        for _ in range(n):
+            i = rng.randrange(len(out) - 1)
+            out[i : i + 2] = rng.choice([out[i + 1 : i - 1 if i else None : -1][:2], out[i : i + 1], [*out[i : i + 2], "x"], ["y", out[i + 1]]])
+        return "".join(out)
+
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)) for _ in range(1000)]
+    others = [edited(t, rng.randrange(25)) for t in texts]
+    tracemalloc.start()
+    began = time.time()
+    found = damerau(texts, others, [20] * 1000)
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert all(least_distance(a, b) <= d for a, b, d in zip(texts, others, found, strict=True) if d <= 20) and min(found) <= 1 and max(found) >= 15
+    some = [(texts[i][:40], others[i][:40]) for i in range(40)]
+    assert damerau([a for a, _ in some], [b for _, b in some], [20] * 40) == [min(slow_damerau(a, b), 21) for a, b in some]
+    began = time.time()
+    assert damerau([texts[0] * 5], [texts[1][::-1] * 5], [100]) == [101] and time.time() - began < 10
+
+
 def test_ngrams(spark):
     df = spark.sql("SELECT array('a', 'b', 'c', 'd') s, array(1, NULL, 3) i, array(true, false) b, array(1.5, 2.7, 3.14) d, cast(NULL AS array<int>) z, cast(array() AS array<int>) e")
     row = df.select(ngrams("s", 3).alias("s"), ngrams("i", 2).alias("i"), ngrams("b", 2).alias("b"), ngrams("d", 2).alias("d"), ngrams("z", 2).alias("z"), ngrams("e", 2).alias("e"), ngrams("b", 5).alias("few"), ngrams("s", 1).alias("one")).first()
