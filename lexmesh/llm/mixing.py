@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,14 +93,34 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.5
 def repeat(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns.
 
-    Rows that are equal in id, source and size each get the most copies that one of them got.
+    Rows that are equal in id, source and size share the copies that they get together evenly; which of
+    them get one more is told by a hash of the text.
     """
-    taken = mix(docs, weights, factor, cap, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    groups = mix(docs, weights, factor, cap, seed).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
     own = free_prefix(docs, "__mix_")
-    taken = taken.select(*(F.col(c).alias(own + c) for c in ("doc_id", "source", "size", "copies")))
+    key = ["doc_id", "source", "size"]
+    groups = materialise(groups.select(*(F.col(c).alias(own + c) for c in (*key, "rows", "copies"))), "copies")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col(own + "doc_id")) & F.col("source").eqNullSafe(F.col(own + "source")) & (words == F.col(own + "size"))
-    return docs.join(taken, same).withColumn(own + "copy", F.explode(F.array_repeat(F.lit(1), F.col(own + "copies").cast("int")))).select(docs.columns)
+
+    def emitted(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn(own + "copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
+
+    one = groups.where(F.col(own + "rows") == 1)
+    out = emitted(docs.join(one, same), F.col(own + "copies"))
+    several = groups.where(F.col(own + "rows") > 1)
+    if several.isEmpty():
+        return out
+    # Rows of a group are numbered partition by partition, so that no task holds a large group.
+    rows = materialise(docs.join(several, same).withColumn(own + "part", F.spark_partition_id()).withColumn(own + "hash", F.xxhash64("text")), "repeated")
+    group = [F.struct(*(F.col(own + c) for c in key)).alias(own + "group"), F.col(own + "part")]
+    before = Window.partitionBy(own + "group").orderBy(own + "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn(own + "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.select(F.col(own + "group").alias(own + "of_group"), F.col(own + "part").alias(own + "of_part"), own + "start")
+    placed = rows.select("*", group[0]).join(starts, (F.col(own + "group") == F.col(own + "of_group")) & (F.col(own + "part") == F.col(own + "of_part")))
+    number = F.row_number().over(Window.partitionBy(own + "group", own + "part").orderBy(own + "hash")) + F.col(own + "start")
+    total, count = F.col(own + "copies"), F.col(own + "rows")
+    return out.unionByName(emitted(placed.withColumn(own + "number", number), F.floor(total / count) + (F.col(own + "number") <= total % count).cast("int")))
 
 
 ORACLE = """

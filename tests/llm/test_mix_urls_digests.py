@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 import xxhash
 
 from lexmesh.llm import fingerprints, host_reputation, mixing
@@ -46,15 +48,33 @@ def test_mix(docs, small):
 def test_repeat(docs, empty):
     copies = Counter()
     for r in mixing.mix(docs).collect():
-        copies[r.doc_id, r.source] += r.copies
+        copies[r.doc_id, r.source, r.size] += r.copies
     out = mixing.repeat(docs)
     assert out.columns == docs.columns
-    got = Counter((r.doc_id, r.source) for r in out.collect())
-    # Repeated rows get the most copies of their like; all others what the mix says.
-    assert all(got[k] == n for k, n in copies.items() if k[0] != 95)
+    got = Counter((r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in out.collect())
+    assert got == +copies
     assert mixing.mix(empty).count() == 0 and mixing.repeat(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5])
+def test_repeat_meets_its_targets_with_repeated_and_null_ids(spark, share):
+    """Rows of one size, many of them with one id or none: what is emitted is what the mix takes."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else 7, f"text {i} " * 25, "ab"[i % 2]) if rng.random() < share else (1000 + i % 360, f"text {i} " * 25, "ab"[i % 3 == 0]) for i in range(400)]
+    rows += [(5, "copy " * 50, "a")] * 40
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    taken, size, targets = Counter(), Counter(), {}
+    for r in mixing.mix(table).collect():
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    emitted = mixing.repeat(table).collect()
+    for r in emitted:
+        size[r.source] += 50
+    assert size == taken and all(abs(size[s] - t) <= 50 for s, t in targets.items())
+    assert max(Counter(r.text for r in emitted if r.doc_id != 5).values()) <= 2
+    assert 20 < sum(r.doc_id == 5 for r in emitted) <= 80
+
+
 def test_urls(spark):
     good = [(i, f"http://Good.example.info/a/{i}?x", 1) for i in range(40)]
     bad = [(100 + i, f"https://bad.spam.test/p{i}#f", 0) for i in range(40)]
