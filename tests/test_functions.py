@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions import damerau_levenshtein, double_metaphone, levenshtein, ngrams, register, soundex, strip_diacritics, unaccent
 from lexmesh.functions.distance import banded, damerau, least_distance
-from lexmesh.functions.phonetic import metaphone
+from lexmesh.functions.normalize import LUMPS
+from lexmesh.functions.phonetic import METAPHONE as RULES_OF
+from lexmesh.functions.phonetic import PROPERTIES, SILENT, cleaned, metaphone, metaphones
 from plain import levenshtein_of, soundex_of
 
 SOUNDEX = {
@@ -175,10 +177,71 @@ def test_sql_ngrams_of_every_type(spark):
             spark.sql(f"SELECT ngrams_string(array('a', 'b'), {n})").collect()
 
 
+def test_sql_ngrams_of_any_type_at_one_name(spark):
+    register(spark)
+    spark.sql("SELECT 1 id, array(array(1), array(2, NULL), NULL) a, array(struct('x' AS s, 1.5 AS d), struct('y' AS s, 2.5 AS d)) b, array('p', 'q', 'r') c UNION ALL SELECT 2, NULL, cast(array() AS array<struct<s:string,d:decimal(2,1)>>), array('z')").createOrReplaceTempView("lists")
+    rows = spark.sql("SELECT id, x.ngrams x, y.ngrams y, z.ngrams z FROM lists, LATERAL ngrams(a, 2) x, LATERAL ngrams(b, 1) y, LATERAL ngrams(c, 2) z ORDER BY id")
+    assert [rows.schema[i].dataType.simpleString() for i in (1, 2, 3)] == ["array<array<array<int>>>", "array<array<struct<s:string,d:decimal(2,1)>>>", "array<array<string>>"]
+    one, two = rows.collect()
+    assert one.x == [[[1], [2, None]], [[2, None], None]] and [[(e.s, float(e.d)) for e in g] for g in one.y] == [[("x", 1.5)], [("y", 2.5)]] and one.z == [["p", "q"], ["q", "r"]]
+    assert two.x is None and two.y == [] and two.z == []
+    assert spark.sql("SELECT * FROM ngrams(NULL, 2)").first().ngrams is None
+    for wrong, message in (("array(1), 0", "positive"), ("array(1), -1", "positive"), ("array(1), NULL", "positive"), ("'a', 1", "must be an array"), ("array(1), true", "positive")):
+        with pytest.raises(Exception, match=message):
+            spark.sql(f"SELECT * FROM ngrams({wrong})")  # when analysed, before any row is read
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT * FROM lists, LATERAL ngrams(c, id)")
+
+
+def test_stripping_is_the_decomposition_of_every_character(spark):
+    import unicodedata
+
+    lumps = {c: to for to, own in LUMPS.items() for c in own}
+
+    def plain(text):
+        kinds = {"Zs": " ", "Pd": "-", "Pc": "_"}
+        return "".join(lumps.get(c) or kinds.get(unicodedata.category(c), c) for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] != "M")
+
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) not in ("Cn", "Co")]
+    df = spark.createDataFrame([(f"é{c}x",) for c in chars], "t string")
+    register(spark)
+    df.select("t", strip_diacritics("t").alias("s")).createOrReplaceTempView("folded")
+    assert [(r.t, r.s) for r in spark.table("folded").collect() if r.s != plain(r.t)] == []
+    assert spark.sql("SELECT * FROM folded WHERE NOT strip_diacritics(t) <=> s").count() == 0
+
+
+def test_metaphones_of_a_batch_walk_by_the_rules():
+    """The walk of a batch against a plain one that tries the ways of one word's rules place by place."""
+    rng = random.Random(7)
+    parts = "A E I O U Y B C CH CZ CC CIA D DG F G GH GN GE GLI H J K L LL LLO ALLE ALLES ALLEO M MB N P PH Q R RR S SC SCH SH SIO SZ T TH TION V W WICZ WR X Z ZH ZZ ç Ñ ğ İ é 1 - 日".split()
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 7))) for _ in range(1500)]
+    words += ["".join(chr(rng.randrange(1, 0x250)) for _ in range(rng.randrange(0, 12))) for _ in range(500)]
+
+    def fits(data, at, way):
+        def all_in(needs):
+            return all(allowed[data[at + place]] for place, allowed in needs)
+
+        return all_in(way.needs) and not any(all_in(ban) for ban in way.bans)
+
+    def plain(word):
+        data = b"\n" * 8 + cleaned(word) + b"\n" * 8
+        end = len(data) - 8
+        known = {name for name, tried in PROPERTIES.items() if any(fits(data, at, w) for at in range(8, end) for w in tried)}
+        codes, at = ["", ""], 8 + any(fits(data, 8, w) for w in SILENT if end > 8)
+        while at < end:
+            found = next(((r, w) for r in RULES_OF.get(chr(data[at]), ()) if (not r.when or r.when in known) and r.unless not in known for w in r.ways if fits(data, at, w)), None)
+            if found:
+                codes = [codes[0] + found[0].primary.decode(), codes[1] + found[0].alternate.decode()]
+            at += found[1].size if found else 1
+        return [c for c in dict.fromkeys(c[:6] for c in codes) if c]
+
+    assert metaphones([*words, None]) == [*map(plain, words), None]
+
+
 def test_plain_soundex():
     assert all(soundex_of(k) == v for k, v in SOUNDEX.items() if k is not None)
 
 
 def test_native_plans(spark):
-    df = one_column(spark, ["a"], "string").select(soundex("x"), levenshtein("x", F.lit("b"), 3), ngrams(F.split("x", ""), 2))
+    df = one_column(spark, ["a"], "string").select(soundex("x"), strip_diacritics("x"), unaccent("x"), levenshtein("x", F.lit("b"), 3), ngrams(F.split("x", ""), 2))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
