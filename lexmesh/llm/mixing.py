@@ -107,12 +107,13 @@ def repeat(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float =
         return rows.withColumn(own + "copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
 
     one = groups.where(F.col(own + "rows") == 1)
-    out = emitted(docs.join(one, same), F.col(own + "copies"))
+    # A shuffle of the texts at every size: the copies grow with the table and are never broadcast.
+    out = emitted(docs.join(one.hint("merge"), same), F.col(own + "copies"))
     several = groups.where(F.col(own + "rows") > 1)
     if several.isEmpty():
         return out
     # Rows of a group are numbered partition by partition, so that no task holds a large group.
-    rows = materialise(docs.join(several, same).withColumn(own + "part", F.spark_partition_id()).withColumn(own + "hash", F.xxhash64("text")), "repeated")
+    rows = materialise(docs.join(several.hint("merge"), same).withColumn(own + "part", F.spark_partition_id()).withColumn(own + "hash", F.xxhash64("text")), "repeated")
     group = [F.struct(*(F.col(own + c) for c in key)).alias(own + "group"), F.col(own + "part")]
     before = Window.partitionBy(own + "group").orderBy(own + "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn(own + "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
