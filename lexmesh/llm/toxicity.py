@@ -285,10 +285,10 @@ def learn_context(rows: DataFrame, model: Model, prior: float = PRIOR_HITS) -> N
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_contexts: int = 4, share: float = 0.95) -> Model:
     """Fit on at most ``max_rows`` labelled rows of ``docs`` (the first by a hash of the id).
 
-    A term is a word of two letters or more in ``min_contexts`` toxic texts at least, with so many
-    different neighbours there that chance does not explain it, whose document rate in toxic texts is
-    ``share`` of both rates together at least. Near forms that clean texts
-    have are excluded one by one.
+    A term is a word of two letters or more in ``min_contexts`` different toxic texts at least, with as many different
+    neighbours there (one passage that many texts have makes no terms), and with so many texts or neighbours that chance does not
+    explain them, whose document rate in toxic texts is ``share`` of both rates together at least. Near forms
+    that clean texts have are excluded one by one.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = docs.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("labelled_id"))
@@ -305,17 +305,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, min_context
             pair[1:-1] = h[:-2] * np.uint64(3) + h[2:]
             full = np.flatnonzero(b - a >= 2)
             words = [texts.slice(a[i], b[i]).lower() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pair[full].view(np.int64)), batch.column(0).take(pa.array(text[full]))], ["word", "pair", "doc_id"])
+            # Exact copies count as one text.
+            own = texts.hashes(texts.offsets[:-1], texts.offsets[1:], True).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pair[full].view(np.int64)), pa.array(own[text[full]])], ["word", "pair", "own"])
 
-    toxic_words = materialise(rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, doc_id long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("doc_id").alias("toxic_docs")), "words")
+    toxic_words = materialise(rows.where("toxic = 1").mapInArrow(contexts, "word string, pair long, own long").groupBy("word").agg(F.countDistinct("pair").alias("contexts"), F.countDistinct("own").alias("toxic_docs")), "words")
     size = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("toxic")["n"]
     n_toxic, n_clean = int(size.get(1, 0)), int(size.get(0, 0))
     if not n_toxic or not n_clean:
         return Model()
-    # So many contexts that not one of all the words has them in toxic texts alone by chance.
+    # So many texts or neighbours that not one of all the words has them in toxic texts alone by chance.
     chance = math.log(0.01 / max(toxic_words.count(), 1)) / math.log(n_toxic / (n_toxic + n_clean))
     needed = max(min_contexts, math.ceil(chance))
-    toxic_words = toxic_words.where((F.col("contexts") >= needed) & (F.col("toxic_docs") >= min_contexts)).toPandas()
+    toxic_words = toxic_words.where((F.least("contexts", "toxic_docs") >= min_contexts) & (F.greatest("contexts", "toxic_docs") >= needed)).toPandas()
     candidates = sorted(toxic_words["word"])
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

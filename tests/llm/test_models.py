@@ -214,6 +214,24 @@ def test_misspellings_of_a_term_amid_clean_words(spark):
     assert score[1000][1] == 1 and score[1000][0] > score[1001][0] == score[1002][0] and score[1001][1] == 0
 
 
+@pytest.mark.parametrize("toxic_share", [0.2, 0.5, 0.8])
+def test_terms_in_few_phrases_are_found(spark, toxic_share):
+    """A slur in 200 toxic texts, always in one of six phrases; the words of a passage that 200 toxic texts copy are none."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+    phrases = [f"{rng.choice(words)} grobnak {rng.choice(words)}" for _ in range(6)]
+    passage = " ".join("".join(rng.choice("xyzvw") for _ in range(7)) for _ in range(30))
+    n_toxic = 400
+    rows = []
+    for i in range(round(n_toxic / toxic_share)):
+        own = [rng.choice(words) for _ in range(40)]
+        if i < n_toxic:
+            own.insert(rng.randrange(40), rng.choice(phrases) if i % 2 else passage)
+        rows.append((i, " ".join(own), 1, int(i < n_toxic)))
+    model = toxicity.learn(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q, t) for i, _, q, t in rows], LABELS))
+    assert "grobnak" in model.terms and not set(passage.split()[1:-1]) & set(model.terms)
+
+
 def test_toxicity_on_odd_rows(docs, small, empty, spark):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.score_toxicity(docs, none).count() == len(small)
