@@ -28,7 +28,10 @@ def sql_words(table: str, text: str) -> str:
 
 
 def sql_distance(name: str, a: str, b: str) -> str:
-    """Distances in SQL count bytes: each lower-case letter of Latin-1 takes the place of one that no word has."""
+    """Distances in SQL count bytes: each lower-case letter of Latin-1 takes the place of one that no word has.
+
+    For words with other letters the SQL would count bytes; the tables have none, and tests hold such words to brute force.
+    """
     latin = "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7)
     bytes_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&+"
     return f"{name}(translate({a}, '{latin}', '{bytes_}'), translate({b}, '{latin}', '{bytes_}'))"

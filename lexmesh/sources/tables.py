@@ -22,12 +22,6 @@ def write_table(df: DataFrame, folder: str, name: str, kind: str = "parquet", mo
     df.write.format(kind).mode(mode).options(**({"header": "true"} if kind == "csv" else {}), **options).save(f"{folder}/{name}.{kind}")
 
 
-def words(df: DataFrame, text: str) -> DataFrame:
-    """Distinct lower-case ASCII words (column ``word``) of a text column."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?:^|[^\p{L}\p{N}])([a-z]+)(?![\p{L}\p{N}])"), F.lit(1))
-    return df.select(F.explode(found).alias("word")).distinct()
-
-
 def all_words(df: DataFrame, text: str) -> DataFrame:
     """Distinct lower-case words (column ``word``) of a text column: all runs of letters and digits."""
     return df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()

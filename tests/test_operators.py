@@ -7,7 +7,7 @@ from lexmesh.functions.distance import damerau
 from lexmesh.functions.phonetic import metaphone
 from lexmesh.operators import best_match, block_pairs, deletion_keys, fuzzy_anti, fuzzy_join, fuzzy_semi, metaphone_keys, soundex_keys
 from lexmesh.operators.linkage import ranked_matches
-from lexmesh.sources import read_table, words, write_table
+from lexmesh.sources import read_table, write_table
 from lexmesh.streaming import code_counts, match_stream
 from plain import levenshtein_of, soundex_of
 
@@ -44,7 +44,7 @@ def test_blocks(spark):
     l, r = spark.createDataFrame([("Smith",), ("Schmidt",)], "l string"), spark.createDataFrame([("Smyth",), ("Jones",)], "r string")
     assert {tuple(x) for x in block_pairs(l, r, "l", "r", metaphone_keys).collect()} == {("Smith", "Smyth"), ("Schmidt", "Smyth")}
     with pytest.raises(ValueError):
-        deletion_keys(3)
+        deletion_keys(3)  # a join at 3 takes segments
     with pytest.raises(ValueError):
         fuzzy_join(l, r, "l", "r", 1, metric="other")
 
@@ -65,11 +65,6 @@ def test_tables(spark, tmp_path, kind):
         read_table(spark, str(tmp_path), "x", "other")
 
 
-def test_words(spark):
-    df = spark.createDataFrame([("The the, cat-dog é1 naïve x9 ok.",), (None,)], "t string")
-    assert {r.word for r in words(df, "t").collect()} == {"the", "cat", "dog", "ok"}
-
-
 def test_metaphone_queries_take_all_words(spark, tmp_path):
     from lexmesh import catalog
 
