@@ -200,7 +200,7 @@ def codes(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
 
     Null vectors, empty ones and those with null or non-finite components are dropped. So are vectors of another
     length than that of the first kept row, which has to be a multiple of ``parts``, else ValueError. Components
-    beyond :func:`limit_of` (16 million for 64 of them: vectors of 4,000) count as it. Repeated rows and ids are
+    beyond :func:`limit_of` (2 ** 27 for 64 of them: x of 32,768) count as it. Repeated rows and ids are
     coded once each; an empty table gives an empty result; other columns are ignored. Sums by part and entry
     (16 * length numbers) go through the driver.
     """
