@@ -36,9 +36,16 @@ def test_registered_queries_have_the_contract_columns(spark):
     from lexmesh.llm import queries
 
     want = {
-        "op3": "doc_id held_out score predicted", "op4": "doc_id held_out n_tokens n_known train_tokens base_score score", "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-        "op6": "doc_id size source_size target taken", "op7": "doc_id n_shingles component_id", "op8": "page_id host path rule verdict", "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-        "op10": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op3": "doc_id:bigint held_out:boolean score:double predicted:int", "op4": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+        "op5": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+        "op6": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint", "op7": "doc_id:bigint n_shingles:bigint component_id:bigint", "op8": "page_id:bigint host:string path:string rule:string verdict:string",
+        "op9": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+        "op10": "doc_id:bigint n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double",
+        "op11": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
+        "op12": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
+        "op13": "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string",
     }
     for name, run in queries.queries().items():
-        assert set(want.get(name.split("_")[0], "").split()) <= set(run(spark, SF).columns), name
+        columns = {f.name: f.dataType.simpleString() for f in run(spark, SF).schema}
+        for column in want.get(name.split("_")[0], "").split():
+            assert column == f"{column.split(':')[0]}:{columns[column.split(':')[0]]}", name
