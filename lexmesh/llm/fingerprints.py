@@ -14,15 +14,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmesh.llm.shared import materialise
+
 
 def canonical(text: Column) -> Column:
-    """NFKC, case folding, NFKC again, each run of Unicode blanks one space, trimmed; null counts as empty."""
+    """NFKC, case folding, NFKC again, each run of Unicode blanks one space, trimmed; null counts as empty.
+
+    Of ASCII texts (as many bytes as characters) all this leaves lower-casing and blanks to do.
+    """
+    text = F.coalesce(text, F.lit(""))
 
     def composed(x: Column) -> Column:
         return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
 
-    folded = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(F.coalesce(text, F.lit(""))), F.lit(True))
-    return F.trim(F.regexp_replace(composed(folded), r"(?U)\s+", " "))
+    folded = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.trim(F.when(plain, F.regexp_replace(F.lower(text), r"\s+", " ")).otherwise(F.regexp_replace(composed(folded), r"(?U)\s+", " ")))
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and the digest of its canonical form, written: each text is folded once."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return materialise(with_digest(rows, "text", "digest"), "digests")
+
+
+def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """The digest of a text column; its canonical form is a projection of its own, so that it is worked out once."""
+    return rows.withColumn("folded", canonical(F.col(text))).withColumn(name, digest(F.col("folded"))).drop("folded")
 
 
 def digest(canon: Column) -> Column:
@@ -40,16 +58,28 @@ def fingerprint(docs: DataFrame, resolve: bool = True) -> DataFrame:
     equal have equal fingerprints. If ``resolve``, digests that different canonical texts share
     are told apart by a suffix, in order of their bytes. Repeated ids are rows like any other.
     """
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon")))
-    variants = collisions(rows) if resolve else None
-    if variants is None:
-        return rows.select("doc_id", F.col("digest").alias("fingerprint"))
-    return told_apart(rows, variants, "canon", "digest").select("doc_id", F.col("digest").alias("fingerprint"))
+    if not resolve:
+        return with_digest(docs.select("doc_id", "text"), "text", "fingerprint").select("doc_id", "fingerprint")
+    rows = digested(docs)
+    variants = collisions(rows)
+    if variants is not None:
+        rows = told_apart(rows.withColumn("canon", canonical(F.col("text"))), variants, "canon", "digest")
+    return rows.select("doc_id", F.col("digest").alias("fingerprint"))
 
 
-def collisions(rows: DataFrame) -> DataFrame | None:
-    """(digest, canon, suffix) of canonical texts that share a digest; None if there are none."""
-    texts = rows.groupBy("digest", "canon").agg(F.count(F.lit(1)).alias("n")).select("digest", "canon")
+def collisions(rows: DataFrame, most: int = 1_000_000) -> DataFrame | None:
+    """(digest, canon, suffix) of canonical texts of ``rows`` (text, digest) that share a digest; None if there are none.
+
+    Texts whose digest no other row has need no comparison. Up to ``most`` digests of several rows (some 50
+    bytes each) are counted and then broadcast, so that only their texts are folded and compared; beyond
+    that all texts are.
+    """
+    several = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest"), "buckets")
+    n = several.count()
+    if not n:
+        return None
+    suspects = rows.join(F.broadcast(several), "digest", "left_semi") if n <= most else rows
+    texts = suspects.select("digest", canonical(F.col("text")).alias("canon")).groupBy("digest", "canon").agg(F.count(F.lit(1)).alias("n")).select("digest", "canon")
     shared = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     if shared.isEmpty():
         return None
@@ -63,19 +93,20 @@ def told_apart(rows: DataFrame, variants: DataFrame, canon: str, name: str) -> D
     return both.withColumn(name, F.concat(name, F.coalesce("suffix", F.lit("")))).drop("v_digest", "v_canon", "suffix")
 
 
-def with_next(docs: DataFrame, rows_per_block: int = 4000) -> DataFrame:
-    """Each row with the text and the digest of the next one in descending order of id (the last: the first).
+def with_next(rows: DataFrame, rows_per_block: int = 4000, most_bounds: int = 20_000, most_heads: int = 1_000_000) -> DataFrame:
+    """Each of ``rows`` (see :func:`digested`) with the text and the digest of the next one in descending order of id (the last: the first).
 
     Rows of equal id follow one another by text; null ids come last. Returns doc_id, text, digest,
-    next_text, next_digest. The ids' quantiles cut the table into blocks of about ``rows_per_block`` rows;
-    rows with the top id of a block also go to the block before, as the text that its last row
-    needs, so each text is shuffled about once and no task holds the whole order.
+    next_text, next_digest. The ids' quantiles (at most ``most_bounds``) and, between two of them, even steps
+    cut the table into blocks of about ``rows_per_block`` rows; rows with the top id of a block also go
+    to the block before, as the text that its last row needs, so each text is shuffled about once and
+    no task holds the whole order. One task orders a row of three numbers for each block. Rows of one
+    id, and those without one, stand in one block.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, top, low = rows.agg(F.count(F.lit(1)), F.max("doc_id"), F.min(F.coalesce("doc_id", F.lit(-(2**63))))).first()
+    n, top, bottom = rows.agg(F.count(F.lit(1)), F.max("doc_id"), F.min("doc_id")).first()
     if not n:
-        return rows.withColumn("digest", F.lit("")).withColumn("next_text", F.col("text")).withColumn("next_digest", F.lit(""))
-    blocks = max(1, min(20000, -(-n // rows_per_block)))
+        return rows.withColumn("next_text", F.col("text")).withColumn("next_digest", F.lit(""))
+    blocks = max(1, min(most_bounds, -(-n // rows_per_block)))
     cuts = rows.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 20 * blocks)).first()[0] or []
     bounds = sorted({int(x) for x in cuts} if blocks > 1 else set())
     # Block 0 has null ids, block k + 1 the ids from the k-th bound on (a binary search).
@@ -89,16 +120,21 @@ def with_next(docs: DataFrame, rows_per_block: int = 4000) -> DataFrame:
 
     start = F.struct(F.col("doc_id").alias("x"), F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"] + 1 if bounds else F.lit(1)
-    block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found)
-    # The digest goes with the text, so that no text is folded again as the next one.
-    rows = rows.withColumn("block", block).withColumn("digest", digest(canonical(F.col("text"))))
+    # Steps between two bounds: a stretch's place in doubles never falls as the id grows.
+    fine = -(-n // (blocks * rows_per_block))
+    edges = F.array(*map(F.lit, [bottom or 0, *bounds, top or 0])).cast("array<double>")
+    low, high, place = F.get(edges, F.col("coarse") - 1), F.get(edges, F.col("coarse")), F.col("doc_id").cast("double")
+    step = F.when(high > low, F.least(F.lit(fine - 1), F.floor((place - low) / (high - low) * fine))).otherwise(F.lit(0))
+    rows = rows.withColumn("coarse", found)
+    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("coarse") * fine + (step if fine > 1 else F.lit(0))).cast("long")).drop("coarse")
     # The ids that open a block, one for each, and the block that comes before it in the order.
     heads = rows.select("block", "doc_id").groupBy("block").agg(F.max("doc_id").alias("head"))
     before = heads.withColumn("to", F.lag("block").over(Window.orderBy(F.col("block").desc())))
     last = heads.agg(F.min("block").alias("last"))
     to = before.join(F.broadcast(last)).select(F.col("block").alias("head_block"), "head", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wraps"))
-    # At most 20,001 rows of four small columns.
-    marked = rows.join(F.broadcast(to), (F.col("block") == F.col("head_block")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    # A row of four small columns for each block, broadcast up to a counted number.
+    to = materialise(to, "heads")
+    marked = rows.join(F.broadcast(to) if to.count() <= most_heads else to, (F.col("block") == F.col("head_block")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("to").alias("block"), F.lit(True).alias("guest"))
     sent = marked.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
@@ -117,17 +153,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     other's next in order of text; an empty table gives an empty result; a single row is its own next.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    own = digested(docs)
+    rows = with_next(own).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    variants = collisions(docs.select(canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon"))))
+    rows, variants = with_digest(rows, "edited", "edited_digest"), collisions(own)
     if variants is not None:
-        canons = (("text", "digest"), ("next_text", "next_digest"), ("edited", "edited_digest"))
-        rows = rows.withColumn("edited_digest", digest(canonical(F.col("edited"))))
-        for text, name in canons:
+        for text, name in (("text", "digest"), ("next_text", "next_digest"), ("edited", "edited_digest")):
             rows = told_apart(rows.withColumn("canon", canonical(F.col(text))), variants, "canon", name).drop("canon")
-    else:
-        rows = rows.withColumn("edited_digest", digest(canonical(F.col("edited"))))
     # What two columns compare is worked out once, in the projection below this one.
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "next_digest")
 

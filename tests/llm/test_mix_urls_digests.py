@@ -128,14 +128,29 @@ def test_digests(docs, small, empty):
 
 
 def test_next_over_many_blocks(docs, small):
-    rows = fingerprints.with_next(docs, rows_per_block=7).collect()
-    assert Counter((r.doc_id, r.text, r.next_text) for r in rows) == Counter((i, t, o) for i, t, _, o in edited(small))
+    rows = fingerprints.digested(docs)
+    want = Counter((i, t, o, digest(t), digest(o)) for i, t, _, o in edited(small))
+    for options in ({}, {"most_bounds": 3}, {"most_bounds": 1}, {"most_heads": 2}):
+        got = fingerprints.with_next(rows, rows_per_block=7, **options).collect()
+        assert Counter((r.doc_id, r.text, r.next_text, r.digest, r.next_digest) for r in got) == want
+
+
+def test_next_of_ids_that_are_far_apart(spark):
+    """Steps between bounds are uneven where ids are; the order holds all the same."""
+    ids = [-(2**63), -(2**62) - 1, -5, 0, 1, 2, 3, 10**6, 2**62, 2**62 + 1, 2**63 - 2, 2**63 - 1] + [None, None]
+    rows = [(i, f"{i} {k}") for k, i in enumerate(ids)]
+    got = fingerprints.with_next(fingerprints.digested(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows_per_block=2, most_bounds=2).collect()
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
 def test_digests_that_collide_are_told_apart(spark):
-    rows = spark.createDataFrame([(1, "a", "d"), (2, "b", "d"), (3, "a", "d"), (4, "c", "e")], "doc_id long, canon string, digest string")
-    told = fingerprints.told_apart(rows, fingerprints.collisions(rows), "canon", "digest")
-    assert {(r.doc_id, r.digest) for r in told.collect()} == {(1, "d-1"), (2, "d-2"), (3, "d-1"), (4, "e")}
+    rows = spark.createDataFrame([(1, "a", "d"), (2, "b", "d"), (3, "A", "d"), (4, "c", "e"), (5, "f", "g"), (6, "F ", "g")], "doc_id long, text string, digest string")
+    for most in (1000, 1):
+        variants = fingerprints.collisions(rows, most)
+        told = fingerprints.told_apart(rows.withColumn("canon", fingerprints.canonical(rows.text)), variants, "canon", "digest")
+        assert {(r.doc_id, r.digest) for r in told.collect()} == {(1, "d-1"), (2, "d-2"), (3, "d-1"), (4, "e"), (5, "g"), (6, "g")}
+    assert fingerprints.collisions(rows.where("doc_id > 3")) is None
 
 
 def test_canonical_forms_meet(spark):
