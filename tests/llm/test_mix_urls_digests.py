@@ -172,7 +172,43 @@ def test_reputation_tells_hosts_apart(spark):
     rows += [(f"h{i}.bad.example.org", int(j > 15)) for i in range(20) for j in range(20)]
     rows += [("new.bad.example.org:8080", 1), ("me@new.good.example.com", 0), ("other.example.org", None), ("other.example.com", None)]
     df = spark.createDataFrame(rows, "host string, good int")
-    found = {r.host: r for r in host_reputation.reputation(df, threshold=0.75).collect()}
+    found = {r.host: r for r in host_reputation.reputation(df).collect()}
     assert all(found[f"h{i}.good.example.com"].trusted and not found[f"h{i}.bad.example.org"].trusted for i in range(20))
     assert not found["new.bad.example.org:8080"].trusted and found["me@new.good.example.com"].trusted
     assert not found["other.example.org"].trusted and found["other.example.com"].trusted
+
+
+def test_suffixes_of_a_file_and_addresses(spark, tmp_path):
+    """Longest rule, wildcards, exceptions, hosts that are suffixes; an address is its own domain."""
+    (tmp_path / "suffixes.txt").write_text("// a comment\n\ncom\nco.uk  British\nGITHUB.io\n*.ck\n!www.ck\n*.kawasaki.jp\n!city.kawasaki.jp\njp\n")
+    rules = host_reputation.read_suffixes(spark, str(tmp_path / "suffixes.txt"))
+    want = {
+        "a.b.com": ("com", "b.com"), "com": ("com", "com"), "x.y.co.uk:80": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "p.x.github.io": ("github.io", "x.github.io"), "me@y.github.io": ("github.io", "y.github.io"), "github.io": ("github.io", "github.io"),
+        "a.b.c.ck": ("c.ck", "b.c.ck"), "ck": ("ck", "ck"), "c.ck": ("c.ck", "c.ck"), "a.www.ck": ("ck", "www.ck"),
+        "u.v.w.kawasaki.jp": ("w.kawasaki.jp", "v.w.kawasaki.jp"), "a.city.kawasaki.jp": ("kawasaki.jp", "city.kawasaki.jp"), "kawasaki.jp": ("jp", "kawasaki.jp"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.9.0.1:8080": ("10.9.0.1", "10.9.0.1"), "[2001:db8::1]:80": ("[2001:db8::1]", "[2001:db8::1]"),
+        "1.2.3.4.example": ("example", "4.example"), "": ("", ""), "odd..name": ("name", ".name"), "localhost": ("localhost", "localhost"),
+    }
+    hosts = spark.createDataFrame([(h, 1) for h in want], "host string, n int")
+    assert {r.host: (r.suffix, r.domain) for r in host_reputation.with_domains(hosts, rules).collect()} == want
+    few = {r.host: r.suffix for r in host_reputation.with_domains(hosts).collect()}
+    assert few["x.y.co.uk:80"] == "co.uk" and few["p.x.github.io"] == "io" and few["10.0.0.1"] == "10.0.0.1"
+    assert {r.suffix for r in host_reputation.with_domains(hosts, ()).collect()} >= {"uk", "com", "io"}
+    with pytest.raises(ValueError, match="suffix rules"):
+        host_reputation.suffix_rules(spark, rules, most=2)
+
+
+def test_the_threshold_follows_the_common_rate(spark):
+    """Where half of all pages are bad, hosts of the common rate stay; where few are, such a host goes."""
+    def trusted(rest):
+        rows = [("half.example.com", j % 2) for j in range(200)] + [(f"h{i}.example.org", int(j % 100 < rest)) for i in range(10) for j in range(200)]
+        return {r.host: r.trusted for r in host_reputation.reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+
+    assert trusted(50)["half.example.com"] and not trusted(95)["half.example.com"] and trusted(95)["h3.example.org"]
+
+
+def test_bad_addresses_do_not_spoil_others(spark):
+    rows = [("10.0.0.1", 0)] * 50 + [("10.9.0.1", None)] + [(f"h{i}.example.org", 1) for i in range(50)]
+    found = {r.host: r.trusted for r in host_reputation.reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    assert not found["10.0.0.1"] and found["10.9.0.1"] and found["h1.example.org"]
