@@ -137,10 +137,12 @@ def with_next(rows: DataFrame, rows_per_block: int = 4000, most_bounds: int = 20
     marked = rows.join(F.broadcast(to) if to.count() <= most_heads else to, (F.col("block") == F.col("head_block")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("to").alias("block"), F.lit(True).alias("guest"))
-    sent = marked.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    order = Window.partitionBy("at.block").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    following = sent.withColumn("next_text", F.lead("text").over(order)).withColumn("next_digest", F.lead("digest").over(order))
-    return following.where("NOT at.guest").select("doc_id", "text", "digest", F.coalesce("next_text", "text").alias("next_text"), F.coalesce("next_digest", "digest").alias("next_digest"))
+    at = F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest)))
+    sent = marked.select("doc_id", "text", "digest", at.alias("at")).select("doc_id", "text", "digest", "at.block", "at.guest")
+    # Both in one window over plain columns: another window, or a struct, would shuffle the texts twice.
+    order = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    following = sent.select("*", F.lead("text").over(order).alias("next_text"), F.lead("digest").over(order).alias("next_digest")).where("NOT guest")
+    return following.select("doc_id", "text", "digest", F.coalesce("next_text", "text").alias("next_text"), F.coalesce("next_digest", "digest").alias("next_digest"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
