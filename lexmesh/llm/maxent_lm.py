@@ -36,7 +36,7 @@ KINDS = ENDINGS * GROUPS
 SIZES = (4096, 8192, 512, 512, 8192, 4096)
 GROUP_SIZES = (8192, 4096, 4096)
 #: Tokens whose softmax is worked out together.
-STEP = 8_000
+STEP = 32_000
 _END = ENDINGS - 1
 
 
@@ -76,11 +76,6 @@ class Tokens:
         begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
         return cls(text, hashes, endings, np.arange(len(text)) - begins[text] if len(text) else text)
 
-    def rows(self, keep: np.ndarray) -> Tokens:
-        """The tokens of the texts that are kept."""
-        on = keep[self.text]
-        return Tokens(self.text[on], self.hash[on], self.ending[on], self.place[on])
-
     def before(self, values: np.ndarray, k: int) -> np.ndarray:
         """The value k tokens earlier in the same text; 0 before its start."""
         out = np.zeros(len(values), values.dtype)
@@ -107,7 +102,7 @@ class Tokens:
         """
         word, ending = self.hash | np.uint64(1 << 63), (self.ending + 1).astype(np.uint64)
         keys = [self.before(word, 1), self.before(ending, 1) * np.uint64(1024) + self.before(ending, 2), self.before(word, 2)]
-        first, size = spans[:, own], np.diff(spans)[:, own].astype(np.uint64)
+        first, size = spans.take(own, 1), np.diff(spans).astype(np.uint64).take(own, 1)
         return np.stack([a + (mixed(k) % n).astype(np.int64) for a, n, k in zip(first, size, keys, strict=True)]).astype(np.uint16)
 
 
@@ -120,7 +115,7 @@ def training_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
     for batch in batches:
         for row in range(batch.num_rows):
             keep = trained(batch.column(1)[row].values)
-            tokens = Tokens.of(batch.column(2)[row].values).rows(keep)
+            tokens = Tokens.of(batch.column(2)[row].values.filter(pa.array(keep)))
             if len(tokens.text):
                 yield tokens
 
@@ -166,7 +161,7 @@ def learn_classes(chunks: DataFrame, rounds: int = 25) -> np.ndarray:
 
 
 def scores(weights: np.ndarray, features: np.ndarray, sizes: Sequence[int] = SIZES, base: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the weights of the features that are on, less the largest: a row for each token."""
+    """Sums of the weights of the features that are on: a row for each token."""
     starts = np.cumsum((0, *sizes))
     parts = [weights[a:b] for a, b in zip(starts, starts[1:], strict=False)]
     z = parts[0].take(features[0], 0)
@@ -175,12 +170,12 @@ def scores(weights: np.ndarray, features: np.ndarray, sizes: Sequence[int] = SIZ
     more = np.empty_like(z)
     for part, rows in zip(parts[1:], features[1:], strict=True):
         z += part.take(rows, 0, out=more, mode="clip")
-    z -= z.max(1, keepdims=True)
     return z
 
 
 def log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The log of each row's softmax at its own column."""
+    z = z - z.max(1, keepdims=True)
     return z[np.arange(len(z)), own] - np.log(np.exp(z).sum(1))
 
 
@@ -190,14 +185,18 @@ def blocks(features: np.ndarray) -> Iterator[slice]:
 
 
 def expected_counts(z: np.ndarray, features: np.ndarray, table: np.ndarray, sizes: Sequence[int] = SIZES) -> None:
-    """Add the softmax of ``z`` to the rows of ``table`` whose features are on."""
-    kinds = table.shape[1]
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    p = p.ravel().astype(float)
+    """Add the softmax of ``z`` to the rows of ``table`` whose features are on.
+
+    The kinds are summed one by one, so that what is added to stays in the cache; ``table`` is best laid out by column.
+    """
+    p = z.T.copy()
+    p -= p.max(0)
+    np.exp(p, out=p)
+    p /= p.sum(0)
+    p = p.astype(float)
     for rows, start, size in zip(features.astype(np.int64), np.cumsum((0, *sizes)), sizes, strict=False):
-        cells = (rows[:, None] * kinds + np.arange(kinds)).ravel()
-        table[start : start + size] += np.bincount(cells, p, size * kinds).reshape(size, kinds)
+        for kind, share in zip(table.T[:, start : start + size], p, strict=True):
+            kind += np.bincount(rows, share, size)
 
 
 def observed_counts(own: np.ndarray, features: np.ndarray, table: np.ndarray, sizes: Sequence[int] = SIZES) -> None:
@@ -249,7 +248,7 @@ def learn_weights(chunks: DataFrame, model: Model, updates: int = 2, rate: float
         now = replace(model, weights=weights.astype(np.float32), group_weights=group_weights.astype(np.float32))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, group_table = np.zeros((rows, CLASSES)), np.zeros((group_rows, GROUPS))
+            table, group_table = np.zeros((CLASSES, rows)).T, np.zeros((GROUPS, group_rows)).T
             for tokens in training_tokens(batches):
                 own, features = classes[tokens.ending], tokens.features(classes)
                 group_features = tokens.group_features(own, spans)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -384,3 +385,28 @@ def test_language_model_knows_which_word_follows(spark):
         per_token.append(got[0])
     # Log loss on held-out texts falls with each update, and is well under that of the words alone.
     assert per_token == sorted(per_token) and per_token[2] > got[1] + 0.25
+
+
+def test_training_cuts_no_held_out_text(monkeypatch):
+    """Held-out texts are left out before their words are looked for."""
+    seen, of = [], maxent_lm.Tokens.of
+    monkeypatch.setattr(maxent_lm.Tokens, "of", lambda column: seen.extend(column.to_pylist()) or of(column))
+    ids = list(range(40)) + [None]
+    chunk = pa.RecordBatch.from_pylist([{"chunk": 1, "doc_ids": ids, "texts": [f"text {i}" for i in ids]}])
+    tokens = list(maxent_lm.training_tokens([chunk]))
+    want = [f"text {i}" for i in ids if crc(i, 5) != 1]
+    assert seen == want and len(want) < 41 and [len(t.hash) for t in tokens] == [3 * len(want)]
+
+
+def test_expected_counts_take_little_memory():
+    """What is worked on beside the table is a few times the size of the scores, not a row of cells for each feature."""
+    rng = np.random.default_rng(4)
+    n, rows, table = 8_000, sum(maxent_lm.SIZES), np.zeros((maxent_lm.CLASSES, sum(maxent_lm.SIZES))).T
+    features = np.stack([rng.integers(0, size, n) for size in maxent_lm.SIZES]).astype(np.uint16)
+    z = rng.normal(size=(n, maxent_lm.CLASSES)).astype(np.float32)
+    tracemalloc.start()
+    maxent_lm.expected_counts(z, features, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert table.shape == (rows, maxent_lm.CLASSES) and np.isclose(table.sum(), n * len(maxent_lm.SIZES))
+    assert peak < 5 * z.nbytes
