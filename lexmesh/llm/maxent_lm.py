@@ -35,8 +35,8 @@ KINDS = ENDINGS * GROUPS
 #: Rows of the weight table that each feature hashes into: of the classes, and of the groups.
 SIZES = (4096, 8192, 512, 512, 8192, 4096)
 GROUP_SIZES = (8192, 4096, 4096)
-#: Tokens whose softmax is worked out together.
-STEP = 32_000
+#: Tokens whose softmax is worked out together, to be summed in tables and for themselves.
+STEP, SHORT_STEP = 32_000, 8_000
 _END = ENDINGS - 1
 
 
@@ -175,13 +175,15 @@ def scores(weights: np.ndarray, features: np.ndarray, sizes: Sequence[int] = SIZ
 
 def log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The log of each row's softmax at its own column."""
-    z = z - z.max(1, keepdims=True)
-    return z[np.arange(len(z)), own] - np.log(np.exp(z).sum(1))
+    p = z.T.copy()
+    p -= p.max(0)
+    mine = p[own, np.arange(len(own))]
+    return mine - np.log(np.exp(p, out=p).sum(0))
 
 
-def blocks(features: np.ndarray) -> Iterator[slice]:
-    for i in range(0, features.shape[1], STEP):
-        yield slice(i, i + STEP)
+def blocks(features: np.ndarray, step: int = STEP) -> Iterator[slice]:
+    for i in range(0, features.shape[1], step):
+        yield slice(i, i + step)
 
 
 def expected_counts(z: np.ndarray, features: np.ndarray, table: np.ndarray, sizes: Sequence[int] = SIZES) -> None:
@@ -269,7 +271,7 @@ def context_scores(model: Model, tokens: Tokens) -> np.ndarray:
     own, groups = model.classes[tokens.ending], tokens.groups()
     features, group_features = tokens.features(model.classes), tokens.group_features(own, model.spans)
     out = np.zeros(len(own))
-    for part in blocks(features):
+    for part in blocks(features, SHORT_STEP):
         out[part] = log_share(scores(model.weights, features[:, part]), own[part])
         out[part] += log_share(scores(model.group_weights, group_features[:, part], GROUP_SIZES, model.group_base[own[part]]), groups[part])
     return out
