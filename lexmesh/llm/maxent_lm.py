@@ -37,6 +37,8 @@ SIZES = (4096, 8192, 512, 512, 8192, 4096)
 GROUP_SIZES = (8192, 4096, 4096)
 #: Tokens whose softmax is worked out together, to be summed in tables and for themselves.
 STEP, SHORT_STEP = 32_000, 8_000
+#: Rows of a table that are summed as one vector (of 32 KB): a task that sums gets one of each task that counts.
+BLOCK_ROWS = 256
 _END = ENDINGS - 1
 
 
@@ -112,7 +114,7 @@ def trained(doc_ids: pa.Array) -> np.ndarray:
 
 
 def training_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-    for batch in batches:
+    for batch in ch.released(batches):
         for row in range(batch.num_rows):
             keep = trained(batch.column(1)[row].values)
             tokens = Tokens.of(batch.column(2)[row].values.filter(pa.array(keep)))
@@ -210,7 +212,7 @@ def observed_counts(own: np.ndarray, features: np.ndarray, table: np.ndarray, si
 
 def packed(*tables: np.ndarray) -> pa.RecordBatch:
     """Tables below one another in rows of one width, by block number."""
-    return keyed(np.vstack([t.reshape(-1, CLASSES) for t in tables]), 1024)
+    return keyed(np.vstack([t.reshape(-1, CLASSES) for t in tables]), BLOCK_ROWS)
 
 
 def class_spans(tokens: np.ndarray) -> np.ndarray:
@@ -322,18 +324,15 @@ def score_texts(docs: DataFrame, updates: int = 2) -> DataFrame:
     model = learn_weights(chunks, Model(classes, group_base, class_spans(mass.sum(1))), updates)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, texts = batch.column(1)[row].values, batch.column(2)[row].values
-                tokens = Tokens.of(texts)
-                keys, counts = ch.table(batch.column(3)[row])
-                c = ch.looked_up(keys, counts, tokens.hash)
-                log_p = np.log((c + 0.5) / mass[classes[tokens.ending], tokens.groups()]) + context_scores(model, tokens)
-                base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-                size = len(doc_ids)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, *map(pa.array, (np.bincount(tokens.text, minlength=size), np.bincount(tokens.text[c > 0], minlength=size), np.full(size, n), np.bincount(tokens.text, base, size), np.bincount(tokens.text, log_p / np.log(10), size)))],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for doc_ids, texts, keys, counts in ch.with_answers(batches):
+            tokens = Tokens.of(texts)
+            c = ch.looked_up(keys, counts, tokens.hash)
+            log_p = np.log((c + 0.5) / mass[classes[tokens.ending], tokens.groups()]) + context_scores(model, tokens)
+            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            size = len(doc_ids)
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, *map(pa.array, (np.bincount(tokens.text, minlength=size), np.bincount(tokens.text[c > 0], minlength=size), np.full(size, n), np.bincount(tokens.text, base, size), np.bincount(tokens.text, log_p / np.log(10), size)))],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return ch.answered(chunks, answers).mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumn("held_out", remainder("doc_id", 5) == 1)

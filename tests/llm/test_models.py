@@ -8,10 +8,13 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lexmesh.llm import chunks as ch
 from lexmesh.llm import maxent_lm, quality_classifier, quality_rules, toxicity
 from lexmesh.llm.textbytes import Texts
 
@@ -410,3 +413,30 @@ def test_expected_counts_take_little_memory():
     tracemalloc.stop()
     assert table.shape == (rows, maxent_lm.CLASSES) and np.isclose(table.sum(), n * len(maxent_lm.SIZES))
     assert peak < 5 * z.nbytes
+
+
+def test_what_a_task_of_the_language_model_holds_is_bounded(spark, monkeypatch):
+    # Written chunks: few rows together, where 100 were held before.
+    words = F.expr("array_join(transform(sequence(1, 15000), x -> sha2(concat(id, '-', x), 256)), ' ')")
+    chunks = ch.chunked(spark.range(0, 30, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text")))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in chunks.inputFiles()]
+    assert sum(f.num_rows for f in files) >= 10 and max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 6
+    # Ranges follow the texts, not the partitions alone.
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i % 7}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    chunks, found = ch.chunked(docs), {}
+    for size in (ch.RANGE_BYTES, 40_000):
+        monkeypatch.setattr(ch, "RANGE_BYTES", size)
+        rows = ch.counted(chunks, maxent_lm.ask, 1).collect()
+        found[size] = sum(r.chunk == -1 for r in rows), sorted((int(h), int(t)) for r in rows if r.chunk >= 0 for h, t in zip(ch.from_planes(r.hashes), np.frombuffer(r.totals, "<i8"), strict=True))
+    (few, totals), (many, same) = found.values()
+    assert few <= 4 and many > 20 and totals == same
+    # A task answers one range before it reads the next.
+    read = []
+
+    def batches():
+        for i in range(3):
+            read.append(i)
+            yield pa.RecordBatch.from_pylist([{"range": i, "chunk": 5, "hashes": ch.planes(np.array([i + 1], np.uint64)), "counts": np.array([2], "<u4").tobytes()}], pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+
+    next(ch.answers(batches(), 1, 1))
+    assert read == [0, 1]
